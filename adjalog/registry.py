@@ -2,10 +2,402 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import analysis, fold, graph, kv, merges
+from .plans.fixtures import fixture, with_sql
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None, *names: str):
+    """Register a function of the named fixtures under its own name."""
+
+    def add(f):
+        _QUERIES[f.__name__] = lambda spark, sf_dir: f(*(fixture(spark, sf_dir, n) for n in names))
+        if sql is not None:
+            _SQL[f.__name__] = with_sql(sql, *names)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+_LIVE = "(SELECT src, dst FROM (SELECT src, dst, arg_max(op, seq) AS op FROM ops GROUP BY src, dst) WHERE op = 1)"
+_LAST = "(SELECT key, value FROM (SELECT key, arg_max(op, seq) AS op, arg_max(value, seq) AS value FROM kv WHERE op <> 2 GROUP BY key) WHERE op = 1)"
+_SIDES = "(SELECT src AS id, 1 AS o, 0 AS i FROM edges UNION ALL SELECT dst, 0, 1 FROM edges)"
+_DEGREE = f"(SELECT id, CAST(sum(o) AS BIGINT) AS out_degree, CAST(sum(i) AS BIGINT) AS in_degree, CAST(sum(o + i) AS BIGINT) AS degree FROM {_SIDES} GROUP BY id)"
+
+
+# --- graph ---
+
+
+@query(f"SELECT src AS id, count(*) AS out_degree FROM {_LIVE} GROUP BY src", "ops")
+def g_lww_out_degree(ops):
+    return fold.last_write_wins(ops, ["src", "dst"]).groupBy(F.col("src").alias("id")).agg(F.count("*").alias("out_degree"))
+
+
+@query(f"SELECT src, dst FROM {_LIVE}", "ops")
+def g_live_edges(ops):
+    return fold.last_write_wins(ops, ["src", "dst"])
+
+
+@query(f"SELECT count(*) AS edges, count(DISTINCT src) AS sources FROM {_LIVE}", "ops")
+def g_counts(ops):
+    return fold.last_write_wins(ops, ["src", "dst"]).agg(F.count("*").alias("edges"), F.countDistinct("src").alias("sources"))
+
+
+@query("SELECT src, dst FROM (SELECT src, dst, arg_max(op, seq) AS op FROM ops WHERE seq <= 5000 GROUP BY src, dst) WHERE op = 1", "ops")
+def g_snapshot_edges(ops):
+    return fold.last_write_wins(fold.visible(ops, upto_seq=5000), ["src", "dst"])
+
+
+@query("SELECT id, out_degree, in_degree, degree FROM " + _DEGREE, "edges")
+def g_degrees(edges):
+    return graph.degrees(edges)
+
+
+@query("SELECT src AS id, string_agg(CAST(dst AS VARCHAR), ',' ORDER BY dst) AS neighbours FROM edges GROUP BY src", "edges")
+def g_neighbours_out(edges):
+    return graph.neighbours(edges).select("id", F.array_join("neighbours", ",").alias("neighbours"))
+
+
+@query("SELECT dst AS id, string_agg(CAST(src AS VARCHAR), ',' ORDER BY src) AS neighbours FROM edges GROUP BY dst", "edges")
+def g_neighbours_in(edges):
+    return graph.neighbours(edges, out=False).select("id", F.array_join("neighbours", ",").alias("neighbours"))
+
+
+@query("SELECT * FROM (SELECT src AS id, 'out' AS direction, dst AS other FROM edges UNION ALL SELECT dst, 'in', src FROM edges) WHERE id IN (SELECT src FROM edges WHERE src % 10 = 3)", "edges")
+def g_all_edges_batch(edges):
+    return graph.all_edges(edges, edges.where("src % 10 = 3").select(F.col("src").alias("id")))
+
+
+@query("SELECT src, dst FROM edges UNION SELECT dst, src FROM edges", "edges")
+def g_undirected(edges):
+    return graph.undirected(edges)
+
+
+@query("SELECT * FROM edges WHERE src <> 3 UNION ALL SELECT * FROM (VALUES (CAST(3 AS BIGINT), CAST(5 AS BIGINT)), (3, 7)) v(src, dst)", "edges")
+def g_add_vertex_with_edges(edges):
+    return graph.add_vertex_with_edges(edges, 3, [7, 5, 7])
+
+
+@query("SELECT start, count(*) AS reached FROM (SELECT DISTINCT a.src AS start, b.dst AS id FROM edges a JOIN edges b ON a.dst = b.src WHERE a.src < 50) GROUP BY start", "edges")
+def g_two_hop_count(edges):
+    starts = edges.where("src < 50").select(F.col("src").alias("id"))
+    return graph.k_hop(edges, starts, 2).groupBy("start").agg(F.count("*").alias("reached"))
+
+
+@query("SELECT a.src AS a, b.src AS b, count(*) AS common FROM edges a JOIN edges b ON a.dst = b.dst AND b.src = a.src + 1 WHERE a.src < 100 GROUP BY 1, 2", "edges")
+def g_common_neighbours(edges):
+    pairs = edges.where("src < 100").select(F.col("src").alias("a"), (F.col("src") + 1).alias("b")).distinct()
+    return graph.common_neighbours(edges, pairs)
+
+
+_WALK = """
+, d AS (SELECT src, count(*) AS d FROM edges GROUP BY src), s AS (SELECT DISTINCT src AS start FROM edges WHERE src < 20),
+w0 AS (SELECT start, start AS id, 1.0::DOUBLE AS p FROM s),
+w1 AS (SELECT start, dst AS id, sum(p * 0.8::DOUBLE / d) AS p FROM w0 JOIN edges e ON w0.id = e.src JOIN d USING (src) GROUP BY 1, 2),
+w2 AS (SELECT start, dst AS id, sum(p * 0.8::DOUBLE / d) AS p FROM w1 JOIN edges e ON w1.id = e.src JOIN d USING (src) GROUP BY 1, 2),
+stay AS (SELECT start, id, CASE WHEN d IS NULL THEN p ELSE p * 0.2::DOUBLE END AS p FROM w0 LEFT JOIN d ON id = src
+  UNION ALL SELECT start, id, CASE WHEN d IS NULL THEN p ELSE p * 0.2::DOUBLE END FROM w1 LEFT JOIN d ON id = src UNION ALL SELECT start, id, p FROM w2)
+SELECT start, id, round(sum(p), 7) AS p FROM stay GROUP BY 1, 2"""
+
+
+@query(_WALK, "edges")
+def g_walk_distribution(edges):
+    starts = edges.where("src < 20").select(F.col("src").alias("id"))
+    return graph.walk_distribution(edges, starts, 2).withColumn("p", F.round("p", 7))
+
+
+@query(None, "edges")
+def g_random_walks(edges):
+    return graph.random_walks(edges, edges.select(F.col("src").alias("id")), 4)
+
+
+@query(f"SELECT id, round(2 + (8 + 8 * degree) / 4096.0::DOUBLE + 8 * (degree - 1) * 10.0::DOUBLE * 4.0::DOUBLE / 4096.0::DOUBLE, 9) AS eager_cost, CASE WHEN 2 + (8 + 8 * degree) / 4096.0::DOUBLE + 8 * (degree - 1) * 40.0::DOUBLE / 4096.0::DOUBLE < 0.1::DOUBLE * (200000 / 100::DOUBLE) * 0.5::DOUBLE / 9 / 0.5::DOUBLE THEN 'eager' ELSE 'lazy' END AS policy FROM {_DEGREE}", "edges")
+def g_adaptive_policy(edges):
+    return graph.adaptive_policy(graph.degrees(edges), 100, 200_000).select("id", F.round("eager_cost", 9).alias("eager_cost"), "policy")
+
+
+@query(f"SELECT id, 8 + 8 * degree AS raw_bytes, CASE WHEN out_degree > 0 THEN out_degree * l + out_degree + CAST(floor(4294967295 / pow(2, l)) AS BIGINT) + 2 ELSE 0 END AS ef_bits FROM (SELECT *, CAST(floor(log2(4294967295.0::DOUBLE / greatest(out_degree, 1))) AS BIGINT) AS l FROM {_DEGREE})", "edges")
+def g_encoded_size(edges):
+    return graph.encoded_size(graph.degrees(edges))
+
+
+@query("SELECT src AS id, min(CASE WHEN dst >= 25 THEN dst END) AS successor FROM edges GROUP BY src", "edges")
+def g_successor(edges):
+    return graph.successor(graph.neighbours(edges), 25)
+
+
+@query("SELECT id, hex(id % 256) AS low FROM (SELECT DISTINCT src AS id FROM edges)", "edges")
+def g_le_key_low_byte(edges):
+    keys = graph.little_endian_order(edges.select(F.col("src").alias("id")).distinct())
+    return keys.select("id", F.regexp_replace(F.substring("key", 1, 2), "^0(?=.)", "").alias("low"))
+
+
+@query("SELECT c, CASE WHEN c = 255 THEN 2147483647 ELSE ((1 << (c >> 5)) - 1) * 32 + (1 << (c >> 5)) * (c & 31) END AS estimate FROM (SELECT DISTINCT CAST(dst AS INTEGER) * 5 AS c FROM edges)", "edges")
+def g_morris_estimate(edges):
+    return edges.select((F.col("dst").cast("int") * 5).alias("c")).distinct().select("c", graph.morris_estimate(F.col("c")).alias("estimate"))
+
+
+@query(None, "edges")
+def g_morris_degree(edges):
+    return graph.morris_degree(graph.degrees(edges))
+
+
+@query(None, "supply")
+def g_count_min_degree(supply):
+    keys = supply.select(F.col("src").alias("key"))
+    return graph.count_min_estimate(graph.count_min_table(keys), keys)
+
+
+@query("SELECT round(avg(abs(estimate - exact)), 6) AS mean_error FROM (SELECT src, count(*) AS exact, count(*) AS estimate FROM supply GROUP BY src)", "supply")
+def g_estimator_accuracy(supply):
+    keys = supply.select(F.col("src").alias("key"))
+    wide = {"epsilon": 1 / 2000000, "delta": 0.001}
+    exact = keys.groupBy("key").agg(F.count("*").alias("exact"))
+    return graph.count_min_estimate(graph.count_min_table(keys, **wide), keys, **wide).join(exact, "key").agg(F.round(F.avg(F.abs(F.col("estimate") - F.col("exact"))), 6).alias("mean_error"))
+
+
+@query("SELECT id, value FROM (SELECT id, arg_max(value, seq) AS value FROM vprops GROUP BY id)", "vprops")
+def g_vertex_property(vprops):
+    return fold.latest(vprops, ["id"], "value")
+
+
+@query("SELECT src, dst, name, arg_max(value, seq) AS value FROM eprops GROUP BY src, dst, name", "eprops")
+def g_edge_property_merge(eprops):
+    return fold.latest(eprops, ["src", "dst", "name"], "value")
+
+
+@query("SELECT id FROM (SELECT id, arg_max(value, seq) AS value FROM vprops GROUP BY id) WHERE value = 'click'", "vprops")
+def g_vertices_with_property(vprops):
+    return graph.vertices_with(fold.latest(vprops, ["id"], "value").withColumn("name", F.lit("type")), "type", "click")
+
+
+@query("SELECT DISTINCT src, dst FROM (SELECT src, dst, name, arg_max(value, seq) AS value FROM eprops GROUP BY src, dst, name) WHERE name = 'click' AND value = '{\"k\": 1}'", "eprops")
+def g_edges_with_property(eprops):
+    return fold.latest(eprops, ["src", "dst", "name"], "value").where((F.col("name") == "click") & (F.col("value") == '{"k": 1}')).select("src", "dst").distinct()
+
+
+@query("SELECT dst, round(pow((dst / 50.0::DOUBLE) * (pow(4, -1.5) - pow(1024, -1.5)) + pow(1024, -1.5), 1 / -1.5), 6) AS degree FROM (SELECT DISTINCT dst FROM edges)", "edges")
+def g_power_law(edges):
+    return edges.select("dst").distinct().select("dst", F.round(graph.power_law_degree(F.col("dst") / 50.0, 4, 1024, 2.5), 6).alias("degree"))
+
+
+@query("SELECT type, round(avg(value_size), 6) AS p50, round(avg(value_size) + 1.645 * stddev_pop(value_size), 6) AS p95, round(avg(value_size) + 2.326 * stddev_pop(value_size), 6) AS p99 FROM trace GROUP BY type", "trace")
+def g_profile(trace):
+    return graph.profile(trace, ["type"], "value_size").select("type", *[F.round(c, 6).alias(c) for c in ("p50", "p95", "p99")])
+
+
+# --- key-value ---
+
+
+@query(f"SELECT * FROM {_LAST}", "kv")
+def kv_get_latest(log):
+    return kv.get_latest(log)
+
+
+@query(f"SELECT k.key, v.value, v.key IS NOT NULL AS found FROM (SELECT DISTINCT key * 2 AS key FROM kv) k LEFT JOIN {_LAST} v ON k.key = v.key", "kv")
+def kv_multi_get(log):
+    return kv.multi_get(kv.get_latest(log), log.select((F.col("key") * 2).alias("key")).distinct())
+
+
+@query(f"SELECT * FROM {_LAST.replace('WHERE op <> 2', 'WHERE op <> 2 AND seq <= 4000')}", "kv")
+def kv_snapshot_read(log):
+    return kv.get_latest(fold.visible(log, upto_seq=4000))
+
+
+@query("SELECT r.key, r.ts, arg_max(v.value, v.seq) AS value FROM (SELECT key, ts FROM kv WHERE seq % 100 = 0) r LEFT JOIN (SELECT * FROM kv WHERE seq % 3 = 0) v ON v.key = r.key AND v.ts = (SELECT max(x.ts) FROM kv x WHERE x.seq % 3 = 0 AND x.key = r.key AND x.ts <= r.ts) GROUP BY 1, 2", "kv")
+def kv_as_of(log):
+    return kv.as_of(log.where("seq % 3 = 0"), log.where("seq % 100 = 0").select("key", "ts").distinct())
+
+
+@query("SELECT key, seq, op, CAST(row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS INTEGER) AS rank FROM kv", "kv")
+def kv_history(log):
+    return kv.history(log).select("key", "seq", "op", "rank")
+
+
+@query(f"SELECT * FROM {_LAST} WHERE key >= 20 AND key < 60", "kv")
+def kv_range_scan(log):
+    return kv.scan(kv.get_latest(log), lo=20, hi=60)
+
+
+@query(f"SELECT * FROM {_LAST} ORDER BY key DESC LIMIT 10", "kv")
+def kv_reverse_top(log):
+    return kv.scan(kv.get_latest(log), reverse=True, limit=10)
+
+
+@query("SELECT key, count(*) AS n FROM text_kv WHERE starts_with(key, 'b') GROUP BY key", "text_kv")
+def kv_prefix_scan(rows):
+    return kv.scan(rows.groupBy("key").agg(F.count("*").alias("n")), prefix="b")
+
+
+@query("SELECT CASE WHEN length(key) >= 8 THEN substring(key, 1, 8) END AS fixed, substring(key, 1, 12) AS capped, count(*) AS n FROM text_kv GROUP BY 1, 2", "text_kv")
+def kv_prefix_extractors(rows):
+    return rows.groupBy(kv.fixed_prefix(F.col("key"), 8).alias("fixed"), kv.capped_prefix(F.col("key"), 12).alias("capped")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT k.seq, k.key FROM kv k WHERE NOT EXISTS (SELECT 1 FROM range_dels r WHERE k.key >= r.lo AND k.key < r.hi AND r.seq > k.seq)", "kv", "range_dels")
+def kv_range_delete(log, dels):
+    return fold.apply_range_deletes(log, dels).select("seq", "key")
+
+
+_AFTER = "(SELECT * FROM (SELECT *, max(CASE WHEN op <> 2 THEN seq END) OVER (PARTITION BY key) AS base FROM kv) WHERE base IS NULL OR seq >= base)"
+
+
+def _merged(sql: str) -> str:
+    return f"SELECT key, {sql} AS value FROM (SELECT key, seq, op, CASE WHEN op <> 0 THEN value END AS value FROM {_AFTER}) GROUP BY key HAVING max(op) > 0"
+
+
+@query(_merged("CAST(sum(value) AS BIGINT)"), "kv")
+def merge_uint64_add(log):
+    return fold.merge_fold(log, ["key"], merges.uint64_add()).select("key", F.col("value").cast("long").alias("value"))
+
+
+@query(_merged("max(value)"), "kv")
+def merge_max(log):
+    return fold.merge_fold(log, ["key"], F.max("value"))
+
+
+@query(_merged("arg_max(value, seq)"), "kv")
+def merge_put(log):
+    return fold.merge_fold(log, ["key"], merges.put())
+
+
+@query(_merged("string_agg(CAST(value AS VARCHAR), ',' ORDER BY seq)"), "kv")
+def merge_string_append(log):
+    return fold.merge_fold(log.withColumn("value", F.col("value").cast("string")), ["key"], merges.string_append())
+
+
+@query(_merged("string_agg(CAST(value AS VARCHAR), ',' ORDER BY value)"), "kv")
+def merge_sort_list(log):
+    return fold.merge_fold(log, ["key"], merges.sort_list())
+
+
+@query(_merged("bit_xor(value)"), "kv")
+def merge_xor64(log):
+    return fold.merge_fold(log, ["key"], merges.xor64())
+
+
+@query("SELECT key, string_agg(CAST(value AS VARCHAR), ',' ORDER BY seq DESC) AS value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS r FROM kv) WHERE r <= 3 GROUP BY key", "kv")
+def agg_last_three(log):
+    return log.groupBy("key").agg(merges.last_three().alias("value"))
+
+
+@query("SELECT key, string_agg(CAST(value AS VARCHAR), ',' ORDER BY seq) AS operands, count(*) AS n FROM (SELECT *, max(CASE WHEN op <> 2 THEN seq END) OVER (PARTITION BY key) AS base FROM kv) WHERE op = 2 AND seq > coalesce(base, -1) GROUP BY key", "kv")
+def kv_merge_operands(log):
+    return kv.merge_operands(log)
+
+
+@query(f"SELECT key, value FROM (SELECT b.key, b.value FROM {_LAST} b WHERE b.key % 4 <> 0 AND b.key % 5 <> 0 UNION ALL SELECT DISTINCT key, CAST(-1 AS BIGINT) FROM kv WHERE key % 4 = 0)", "kv")
+def kv_batch_overlay(log):
+    keys = log.select("key").distinct().where("key % 4 = 0 or key % 5 = 0")
+    return kv.overlay(kv.get_latest(log), keys.select("key", F.when(F.col("key") % 4 == 0, 1).otherwise(0).alias("op"), F.lit(-1).cast("long").alias("value")))
+
+
+@query(f"SELECT coalesce(b.key, f.key) AS key, coalesce(f.value, b.value) AS value FROM {_LAST} b FULL JOIN (SELECT DISTINCT key, CAST(7 AS BIGINT) AS value FROM kv WHERE key % 2 = 0) f ON b.key = f.key", "kv")
+def kv_ingest(log):
+    return kv.ingest(kv.get_latest(log), log.where("key % 2 = 0").select("key", F.lit(7).cast("long").alias("value")).distinct())
+
+
+@query(f"SELECT coalesce(b.key, f.key) AS key, coalesce(b.value, f.value) AS value FROM {_LAST} b FULL JOIN (SELECT DISTINCT key, CAST(7 AS BIGINT) AS value FROM kv WHERE key % 2 = 0) f ON b.key = f.key", "kv")
+def kv_ingest_behind(log):
+    return kv.ingest(kv.get_latest(log), log.where("key % 2 = 0").select("key", F.lit(7).cast("long").alias("value")).distinct(), behind=True)
+
+
+@query("SELECT key, base AS name, seg FROM entities WHERE key % 3 = 0", "entities")
+def kv_attribute_groups(rows):
+    rows = rows.where("key % 3 = 0")
+    return kv.attribute_groups(name=rows.withColumn("value", F.col("base")), seg=rows.withColumn("value", F.col("seg")))
+
+
+@query("SELECT key, base AS value, seg FROM entities", "entities")
+def kv_entity_default_column(rows):
+    cols = F.create_map(F.lit(""), F.col("base"), F.lit("seg"), F.col("seg"))
+    return rows.select("key", cols.alias("cols")).select("key", F.coalesce(F.col("cols")[""], F.lit("")).alias("value"), F.col("cols")["seg"].alias("seg"))
+
+
+@query("SELECT t.key FROM (SELECT key, min(seq) + 5000 AS seq FROM kv GROUP BY key) t JOIN (SELECT key, max(seq) AS newest FROM kv GROUP BY key) n USING (key) WHERE newest > t.seq", "kv")
+def txn_conflicts(log):
+    return kv.conflicts(log.groupBy("key").agg((F.min("seq") + 5000).alias("seq")), log)
+
+
+@query("SELECT stripe, key, seq, op FROM (SELECT *, row_number() OVER (PARTITION BY key, stripe ORDER BY seq DESC) AS rn FROM (SELECT *, CAST((seq > 2500)::INT + (seq > 6000)::INT AS INTEGER) AS stripe FROM kv WHERE op <> 2)) WHERE rn = 1", "kv")
+def compaction_stripes(log):
+    return fold.snapshot_stripes(log.where("op <> 2"), [2500, 6000], ["key"]).select("stripe", "key", "seq", "op")
+
+
+@query("SELECT seq FROM kv WHERE ts + INTERVAL 10 DAY >= TIMESTAMP '2024-01-31'", "kv")
+def ttl_compact(log):
+    return kv.ttl_compact(log, 864_000, "2024-01-31").select("seq")
+
+
+@query("SELECT part, max(d) >= 4 AS triggered, max(d) AS most FROM (SELECT key % 8 AS part, CAST(sum((op = 0)::INT) OVER (PARTITION BY key % 8 ORDER BY seq ROWS BETWEEN 15 PRECEDING AND CURRENT ROW) AS BIGINT) AS d FROM kv) GROUP BY part", "kv")
+def deletion_window_trigger(log):
+    return kv.deletion_windows(log.withColumn("part", F.col("key") % 8), 16, 4)
+
+
+@query("SELECT seq FROM kv WHERE seq < (SELECT min(seq) FROM kv WHERE seq > 100 AND value > 150) AND op <> 0", "kv")
+def wal_filter(log):
+    return kv.stop_at(log, (F.col("seq") > 100) & (F.col("value") > 150), F.col("op") == 0).select("seq")
+
+
+@query("SELECT seq, key FROM kv WHERE seq >= 9000", "kv")
+def updates_since(log):
+    return kv.updates_since(log, 9000).select("seq", "key")
+
+
+# --- analysis ---
+
+
+@query("SELECT type, count(*) AS n, CAST(sum(value_size) AS BIGINT) AS size_sum, CAST(sum(value_size * value_size) AS BIGINT) AS size_sq, max(value_size) AS size_max FROM trace GROUP BY type", "trace")
+def trace_statistics(trace):
+    return analysis.type_statistics(trace)
+
+
+@query("SELECT type, accesses, count(*) AS keys FROM (SELECT type, key, count(*) AS accesses FROM trace GROUP BY type, key) GROUP BY type, accesses", "trace")
+def trace_access_histogram(trace):
+    return analysis.access_histogram(trace)
+
+
+@query("SELECT type, CAST(floor(value_size / 8) AS BIGINT) AS bucket, count(*) AS n FROM trace GROUP BY 1, 2", "trace")
+def trace_size_histogram(trace):
+    return analysis.size_histogram(trace)
+
+
+@query("SELECT type, max(n) AS peak, round(avg(n), 6) AS mean, count(*) AS intervals FROM (SELECT type, floor(epoch(ts) / 3600) AS t, count(*) AS n FROM trace GROUP BY 1, 2) GROUP BY type", "trace")
+def trace_rates(trace):
+    return analysis.rates(trace, 3600).withColumn("mean", F.round("mean", 6))
+
+
+@query("SELECT first, second, count(*) AS n FROM (SELECT lag(type) OVER (PARTITION BY key ORDER BY event_id) AS first, type AS second FROM trace) WHERE first IS NOT NULL GROUP BY 1, 2", "trace")
+def trace_correlation(trace):
+    return analysis.correlation(trace)
+
+
+@query("SELECT key, count(*) AS n, CAST(row_number() OVER (ORDER BY key) - 1 AS INTEGER) AS key_id FROM trace GROUP BY key", "trace")
+def trace_key_ids(trace):
+    return analysis.key_ids(trace)
+
+
+@query("SELECT key, count(*) AS n FROM trace GROUP BY key ORDER BY n DESC, key LIMIT 10", "trace")
+def trace_top_keys(trace):
+    return analysis.top_keys(trace, 10)
+
+
+@query("SELECT CAST(floor(log2(gap)) AS BIGINT) AS bucket, count(*) AS n FROM (SELECT event_id - lag(event_id) OVER (PARTITION BY key ORDER BY event_id) AS gap FROM trace) WHERE gap IS NOT NULL GROUP BY 1", "trace")
+def trace_reuse_intervals(trace):
+    return analysis.reuse_intervals(trace)
