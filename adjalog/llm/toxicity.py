@@ -111,8 +111,6 @@ def quoted(text: str, word: str) -> int:
     while (at := lower.find(word, at)) >= 0:
         before, after = lower[:at][-12 * CONTEXT :].split()[-CONTEXT:], lower[at + len(word) :][: 12 * CONTEXT].split()[:CONTEXT]
         opened, closed = sum(x.count(q) for x in before for q in _QUOTES), sum(x.count(q) for x in after for q in _QUOTES)
-        if at and lower[at - 1] in _QUOTES:
-            opened += 1
         n += bool(opened % 2 and closed)
         at += len(word)
     return n
