@@ -117,7 +117,7 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     here = F.struct("bucket", F.lit(0).alias("end"))
     ahead = F.struct(F.pmod(F.col("bucket") + 1, F.lit(top)).alias("bucket"), F.lit(1).alias("end"))
     first = F.expr("o = element_at(b, least(bucket + 1, size(b)))")
-    rows = rows.withColumn("to", F.explode(F.when(first, F.array(here, ahead)).otherwise(F.array(here)))).select("id", "text", "o", "to.bucket", "to.end")
+    rows = rows.withColumn("to", F.explode(F.when(first, F.array(here, ahead)).otherwise(F.array(here)))).select("id", "text", "o", F.coalesce("to.bucket", F.lit(0)).alias("bucket"), F.coalesce("to.end", F.lit(0)).alias("end"))
     w = Window.partitionBy("bucket").orderBy("end", F.col("o").desc(), "id", F.xxhash64("text"))
     return rows.select("bucket", F.row_number().over(w).alias("place"), "id", "text", "end", F.lead("text").over(w).alias("next")).where("end = 0").drop("end")
 
