@@ -23,21 +23,41 @@ SCHEMAS = {
 def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
     """(call_id, level) of (call_id, after): the longest chain of calls before each one.
 
-    One round of joins a link of the longest chain, each over what is not yet ordered; calls
-    of a cycle, and those after it, get no row. A dependency that is no call counts as met.
+    Calls with one dependency jump along it in doubling steps to the first call with none or
+    several, so a chain takes rounds by the logarithm of its length. Only calls with several
+    dependencies are then ordered a round at a time. Calls of a cycle, and those after it,
+    get no row; nor does a null identifier. A dependency that is no call counts as met.
     """
-    ids = calls.select("call_id").distinct()
-    need = calls.select("call_id", F.col("after")).where("after is not null").distinct()
-    need = scratch.keep(need.join(ids.withColumnRenamed("call_id", "after"), "after", "left_semi").select("call_id", "after"), "need0")
-    done = scratch.keep(ids.join(need.select("call_id").distinct(), "call_id", "left_anti").select("call_id", F.lit(0).alias("level")), "level0")
-    out, k = done, 0
-    while need.head(1) and done.head(1):
+    ids = calls.where("call_id is not null").select("call_id").distinct()
+    need = calls.select("call_id", "after").where("call_id is not null and after is not null").distinct()
+    need = scratch.keep(need.join(ids.withColumnRenamed("call_id", "after"), "after", "left_semi").select("call_id", "after"), "need")
+    deps = need.groupBy("call_id").agg(F.count("*").alias("n"), F.min("after").alias("after"))
+    single = deps.where("n = 1").select("call_id", "after")
+    inner = single.select(F.col("call_id").alias("after"), F.lit(True).alias("open"))
+    jumps = scratch.keep(single.join(inner, "after", "left").select("call_id", F.col("after").alias("to"), F.lit(1).alias("d"), F.coalesce("open", F.lit(False)).alias("open")), "jump0")
+    n, k = jumps.count(), 0
+    while (1 << k) <= n and jumps.where("open").head(1):
         k += 1
-        left = scratch.keep(need.join(done.select(F.col("call_id").alias("after")), "after", "left_anti").select("call_id", "after"), f"need{k}")
-        freed = need.select("call_id").distinct().join(left.select("call_id").distinct(), "call_id", "left_anti")
-        done = scratch.keep(freed.select("call_id", F.lit(k).alias("level")), f"level{k}")
-        need, out = left, out.union(done)
-    return out
+        step = jumps.select(F.col("call_id").alias("to"), F.col("to").alias("to2"), F.col("d").alias("d2"), F.col("open").alias("open2"))
+        moved = jumps.where("open").join(step, "to").select("call_id", F.col("to2").alias("to"), (F.col("d") + F.col("d2")).alias("d"), F.col("open2").alias("open"))
+        jumps = scratch.keep(jumps.where("not open").union(moved), f"jump{k}")
+        scratch.drop(f"jump{k - 1}")
+    tops = scratch.keep(ids.join(deps.select("call_id"), "call_id", "left_anti").select("call_id", F.lit(0).alias("level")), "level0")
+    # Of calls with several dependencies: each by way of its jump; to null if that ends in a cycle.
+    many = need.join(deps.where("n > 1").select("call_id"), "call_id", "left_semi")
+    via = jumps.select(F.col("call_id").alias("after"), F.when(~F.col("open"), F.col("to")).alias("to"), "d", F.lit(True).alias("jumped"))
+    many = many.join(via, "after", "left").select("call_id", F.when(F.col("jumped"), F.col("to")).otherwise(F.col("after")).alias("to"), (F.coalesce("d", F.lit(0)) + 1).alias("d"), F.lit(None).cast("int").alias("base"))
+    many = scratch.keep(many, "many0")
+    done, ends, k = tops, tops, 0
+    while many.head(1) and done.head(1):
+        k += 1
+        known = many.join(done.select(F.col("call_id").alias("to"), "level"), "to", "left")
+        known = scratch.keep(known.select("call_id", "to", "d", F.coalesce("base", F.col("level") + F.col("d")).alias("base")), f"known{k}")
+        done = scratch.keep(known.groupBy("call_id").agg(F.max("base").alias("level"), F.count("base").alias("met"), F.count("*").alias("n")).where("met = n").select("call_id", "level"), f"level{k}")
+        many = scratch.keep(known.join(done.select("call_id"), "call_id", "left_anti"), f"many{k}")
+        ends = ends.union(done)
+    below = jumps.where("not open").join(ends.select(F.col("call_id").alias("to"), "level"), "to")
+    return ends.union(below.select("call_id", (F.col("level") + F.col("d")).alias("level")))
 
 
 def is_valid(arguments: Column, name: Column, types: dict[str, str], schemas: dict = SCHEMAS) -> Column:

@@ -306,3 +306,19 @@ def test_pipeline(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     ids = {r.doc_id for r in out}
     assert 100 not in ids and 101 not in ids and ids and all(r.offset + r.length <= 1024 for r in out)
+
+
+def test_levels_of_chains_branches_and_cycles(spark):
+    from adjalog.llm.chats import levels
+    from adjalog.llm.common import Scratch
+
+    rows = [(f"c{i}", f"c{i - 1}" if i else None) for i in range(40)] + [("c39", "c38")]
+    rows += [("m", "c3"), ("m", "c20"), ("m2", "m"), ("j", "m2"), ("j", "c39"), ("x", "y"), ("y", "x"), ("w", "x"), ("v", "w"), ("v", "c3"), ("s", "s"), ("far", "no call"), (None, "c1")]
+    ids = {a for a, _ in rows if a}
+    needs = {a: {b for c, b in rows if c == a and b in ids} for a in ids}
+    want: dict = {}
+    while free := {a for a in ids - set(want) if needs[a] <= set(want)}:
+        want.update({a: max((want[b] + 1 for b in needs[a]), default=0) for a in free})
+    frame = spark.createDataFrame(rows, "call_id string, after string")
+    assert dict(map(tuple, levels(frame, Scratch(spark, "test")).collect())) == want
+    assert levels(frame.limit(0), Scratch(spark, "test")).count() == 0
