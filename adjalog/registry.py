@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .operators import analysis, fold, graph, kv, merges
+from .operators import analysis, batches, caches, fold, graph, kv, merges
 from .plans.fixtures import fixture, with_sql
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -401,3 +401,86 @@ def trace_top_keys(trace):
 @query("SELECT CAST(floor(log2(gap)) AS BIGINT) AS bucket, count(*) AS n FROM (SELECT event_id - lag(event_id) OVER (PARTITION BY key ORDER BY event_id) AS gap FROM trace) WHERE gap IS NOT NULL GROUP BY 1", "trace")
 def trace_reuse_intervals(trace):
     return analysis.reuse_intervals(trace)
+
+
+# --- batches and filters ---
+
+
+@query("SELECT key, step, seq FROM (SELECT key, seq AS step, xid * 10 + 15 AS seq, xid FROM (SELECT *, seq // 10 AS xid FROM kv) WHERE xid % 3 = 0)", "kv")
+def txn_prepared_replay(log):
+    log = log.withColumn("xid", F.floor(F.col("seq") / 10))
+    marks = log.select("xid").distinct().where("xid % 3 < 2").select("xid", F.when(F.col("xid") % 3 == 0, "commit").otherwise("rollback").alias("mark"), (F.col("xid") * 10 + 15).alias("mark_seq"))
+    return batches.committed(log, marks).select("key", "step", "seq")
+
+
+_KINDS = "CASE seq % 11 WHEN 3 THEN 'set' WHEN 5 THEN 'set' WHEN 7 THEN 'rollback' WHEN 9 THEN 'pop' ELSE 'write' END"
+
+
+@query(f"""
+, e AS (SELECT key, seq, kind, sum(CASE kind WHEN 'set' THEN 1 WHEN 'write' THEN 0 ELSE -1 END) OVER (PARTITION BY key ORDER BY seq) AS s FROM (SELECT key, seq, {_KINDS} AS kind FROM kv)),
+d AS (SELECT key, seq, kind, s - least(0, min(s) OVER (PARTITION BY key ORDER BY seq)) AS depth FROM e),
+b AS (SELECT *, lag(depth, 1, 0) OVER (PARTITION BY key ORDER BY seq) AS before FROM d),
+r AS (SELECT key, seq AS hi, before AS level, (SELECT max(o.seq) FROM b o WHERE o.key = b.key AND o.seq < b.seq AND o.kind = 'set' AND o.depth = b.before) AS lo FROM b WHERE kind = 'rollback' AND before > depth)
+SELECT key, seq FROM b WHERE kind = 'write' AND NOT EXISTS (SELECT 1 FROM r WHERE r.key = b.key AND b.seq > r.lo AND b.seq < r.hi)""", "kv")
+def batch_savepoints(log):
+    kind = F.expr(_KINDS)
+    return batches.after_savepoints(log.select("key", "seq", kind.alias("kind")), "key", "seq", "kind").select("key", "seq")
+
+
+@query("SELECT key, seq, op FROM (SELECT key, seq, op, lead(op) OVER (PARTITION BY key ORDER BY seq) AS n, lag(op) OVER (PARTITION BY key ORDER BY seq) AS p FROM (SELECT key, seq, CASE WHEN op = 0 THEN 3 ELSE op END AS op FROM kv)) WHERE NOT ((op = 1 AND coalesce(n, 0) = 3) OR (op = 3 AND coalesce(p, 0) = 1))", "kv")
+def kv_single_delete(log):
+    return batches.single_deletes(log.select("key", "seq", F.when(F.col("op") == 0, 3).otherwise(F.col("op")).alias("op")))
+
+
+@query("""
+, t AS (SELECT key, seq, seq + 40 * (value % 30) AS u FROM kv WHERE seq % 13 = 0 AND value % 30 > 0)
+SELECT k.key, k.seq FROM kv k WHERE NOT EXISTS (SELECT 1 FROM (
+  WITH RECURSIVE a(key, seq, u) AS (
+    SELECT key, min(seq), arg_min(u, seq) FROM t GROUP BY key
+    UNION ALL SELECT a.key, n.seq, n.u FROM a, LATERAL (SELECT min(t.seq) AS seq, arg_min(t.u, t.seq) AS u FROM t WHERE t.key = a.key AND t.seq >= a.u) n WHERE n.seq IS NOT NULL)
+  SELECT * FROM a) x WHERE x.key = k.key AND k.seq >= x.seq AND k.seq < x.u)""", "kv")
+def compaction_skip_until(log):
+    until = F.when(F.col("seq") % 13 == 0, F.col("seq") + 40 * (F.col("value") % 30))
+    return batches.skip_until(log.select("key", "seq", "value"), "key", "seq", until).select("key", "seq")
+
+
+@query("SELECT key, seq FROM kv WHERE key >= 30 AND key < 90", "kv")
+def kv_clip(log):
+    return batches.clip(log, 30, 90).select("key", "seq")
+
+
+@query("SELECT key, seq, op FROM kv WHERE ts >= TIMESTAMP '2024-01-05' AND ts <= TIMESTAMP '2024-01-20'", "kv")
+def kv_history_range(log):
+    kind = dict(log.dtypes)["ts"]
+    return fold.visible(log, upto_ts=F.lit("2024-01-20").cast(kind), from_ts=F.lit("2024-01-05").cast(kind)).select("key", "seq", "op")
+
+
+# --- caches and histograms ---
+
+
+@query("""
+, a AS (SELECT key % 8 AS shard, key, event_id AS i, lag(event_id) OVER (PARTITION BY key ORDER BY event_id) AS p FROM trace)
+SELECT shard, count(*) AS accesses, CAST(sum(CASE WHEN p IS NOT NULL AND d < 6 THEN 1 ELSE 0 END) AS BIGINT) AS hits
+FROM (SELECT x.shard, x.p, (SELECT count(*) FROM a y WHERE y.shard = x.shard AND y.i > x.p AND y.i < x.i AND (y.p IS NULL OR y.p < x.p)) AS d FROM a x) GROUP BY shard""", "trace")
+def cache_lru(trace):
+    return caches.simulate(trace.withColumn("shard", F.col("key") % 8), "shard", "event_id", "key", 6, ("lru",)).select("shard", "accesses", "hits")
+
+
+@query(None, "trace")
+def cache_policies(trace):
+    return caches.simulate(trace.withColumn("shard", F.col("key") % 8), "shard", "event_id", "key", 6)
+
+
+_LIMITS = caches.bucket_limits(1 << 40)
+
+
+@query(f"""
+, l AS (SELECT unnest({_LIMITS}) AS hi, generate_subscripts({_LIMITS}, 1) - 1 AS b),
+c AS (SELECT type, b, count(*) AS c FROM (SELECT type, (SELECT count(*) FROM l WHERE hi < v) AS b FROM (SELECT type, event_id, value_size AS v FROM trace)) GROUP BY 1, 2),
+u AS (SELECT *, sum(c) OVER (PARTITION BY type ORDER BY b) AS upto, sum(c) OVER (PARTITION BY type) AS n FROM c),
+f AS (SELECT type, min(b) AS b FROM u WHERE upto >= n * 0.95::DOUBLE GROUP BY type),
+m AS (SELECT type, min(value_size) AS least, max(value_size) AS most FROM trace GROUP BY type)
+SELECT type, CAST(n AS BIGINT) AS n, round(greatest(least(lo + (hi - lo) * ((n * 0.95::DOUBLE - (upto - c)) / c), most), least), 6) AS estimate
+FROM f JOIN u USING (type, b) JOIN (SELECT b, hi, lag(hi, 1, 0) OVER (ORDER BY b) AS lo FROM l) USING (b) JOIN m USING (type)""", "trace")
+def trace_bucket_percentile(trace):
+    return caches.bucket_percentile(trace, "type", "value_size", 95).withColumn("estimate", F.round("estimate", 6))

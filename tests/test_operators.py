@@ -3,9 +3,11 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from adjalog import __main__ as cli
 from adjalog.functions import aggmerge, codecs
-from adjalog.operators import fold, graph, kv, merges
+from adjalog.operators import batches, caches, fold, graph, kv, merges
 from adjalog.sources import files
 from adjalog.streaming import logs
 
@@ -102,3 +104,75 @@ def test_registry_has_sql_for_known_names():
     from adjalog import registry
 
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_savepoints_model(spark):
+    rng = random.Random(3)
+    entries, want = [], []
+    for batch in range(20):
+        open_, live = [], []
+        for i in range(40):
+            kind = rng.choice(["write", "write", "write", "set", "rollback", "pop"])
+            entries.append((batch, i, kind))
+            if kind == "write":
+                live.append(i)
+            elif kind == "set":
+                open_.append(len(live))
+            elif open_:
+                n = open_.pop()
+                live = live[:n] if kind == "rollback" else live
+        want += [(batch, i) for i in live]
+    got = batches.after_savepoints(spark.createDataFrame(entries, "b int, i int, kind string"), "b", "i", "kind").select("b", "i")
+    assert rows(got) == sorted(want, key=str)
+
+
+def test_skip_until_model(spark):
+    rng = random.Random(4)
+    data, want = [], []
+    for run in range(10):
+        end = -1
+        for k in range(60):
+            u = k + rng.randrange(-2, 9) if rng.random() < 0.3 else None
+            data.append((run, k, u))
+            if k < end:
+                continue
+            if u is not None and u > k:
+                end = u
+            else:
+                want.append((run, k))
+    got = batches.skip_until(spark.createDataFrame(data, "run int, k int, u int"), "run", "k", F.col("u")).select("run", "k")
+    assert rows(got) == sorted(want, key=str)
+
+
+def test_filters_and_replay(spark):
+    log = spark.createDataFrame([(1, 1, "a"), (2, 2, ""), (None, 3, "c"), (3, 4, "d")], "xid long, seq long, value string")
+    marks = spark.createDataFrame([(1, "commit", 10), (1, "rollback", 11), (3, "rollback", 9)], "xid long, mark string, mark_seq long")
+    assert rows(batches.committed(log, marks).select("value", "seq", "step")) == [("a", 10, 1), ("c", 3, 3)]
+    assert batches.remove_empty(log).count() == 3
+    sizes = spark.createDataFrame([(1, 5), (2, 5), (3, 5)], "created int, size int")
+    assert rows(batches.fifo_drop(sizes, 11)) == [(2, 5), (3, 5)]
+    ops = spark.createDataFrame([("k", 1, 1), ("k", 2, 3), ("k", 3, 1)], "key string, seq int, op int")
+    assert rows(batches.single_deletes(ops)) == [("k", 3, 1)]
+
+
+def test_caches(spark):
+    keys = [1, 2, 3, 1, 4, 1, 2, 5, 1, 2, 3, 4]
+    trace = spark.createDataFrame([(0, i, k) for i, k in enumerate(keys)], "s int, i int, k int")
+    got = {r.policy: r.hits for r in caches.simulate(trace, "s", "i", "k", 3).collect()}
+    assert got["lru"] == 4 and got["fifo"] == 2 and got["opt"] >= max(got.values())
+    assert caches.simulate(trace.where("false"), "s", "i", "k", 3).count() == 0
+    assert caches.bucket_limits(200)[:9] == [1, 2, 3, 4, 6, 9, 13, 19, 28]
+    one = caches.bucket_percentile(trace.withColumn("v", F.lit(7)), "s", "v", 99).first()
+    assert (one.n, one.estimate) == (12, 7.0)
+
+
+def test_text_commands(spark, tmp_path):
+    db, out = str(tmp_path / "db"), str(tmp_path / "dump")
+    run = lambda *a: cli.main(list(a), spark)
+    assert run("put", db, "a", "1") == run("put", db, "b", "2 ==> x") == run("put", db, "c", "3") == ["OK"]
+    run("delete", db, "c")
+    assert run("get", db, "c") == ["NotFound"] and run("get", db, "a") == ["1"]
+    assert run("scan", db) == ["a ==> 1", "b ==> 2 ==> x"] and run("count", db, "--from", "b") == ["1"]
+    run("dump", db, out)
+    run("load", db + "2", out)
+    assert run("scan", db + "2") == run("scan", db)
