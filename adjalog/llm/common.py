@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import contextlib
+import ctypes
 import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,6 +84,49 @@ def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     return have
 
 
+def give_back() -> None:
+    """Return freed memory to the system.
+
+    Workers live on between tasks, and what they keep counts against their executor.
+    """
+    _POWERS.clear()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean_batches(f):
+    """A function of batches that gives memory back when its task ends."""
+
+    def run(batches):
+        yield from f(batches)
+        give_back()
+
+    return run
+
+
+def lean_group(f):
+    """A function of one group that gives memory back after each."""
+
+    def run(t):
+        out = f(t)
+        give_back()
+        return out
+
+    return run
+
+
+def lean_pair(f):
+    """A function of two cogroups that gives memory back after each."""
+
+    def run(t, notes):
+        out = f(t, notes)
+        give_back()
+        return out
+
+    return run
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer, so that every bit of the result depends on every bit of h."""
     h = h ^ (h >> np.uint64(33))

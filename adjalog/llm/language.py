@@ -13,7 +13,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .common import fold, lean_batches, table
 
 #: Bytes of a dictionary: what is learned from a language is a bounded sample of this size,
 #: of whole training texts of up to SAMPLE_CHARS characters.
@@ -96,7 +96,7 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64()), pa.array([x[2] for x in out], pa.bool_())], names=[*b.schema.names, *results])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{kinds}, lang_pred string, lang_score double, lang_rejected boolean")
+    return docs.mapInArrow(lean_batches(run), f"{kinds}, lang_pred string, lang_score double, lang_rejected boolean")
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, lean_batches, table
 
 CAPACITY, END_ID = 1024, 2
 #: A text with this string is left to the tokenizer library, where it is one special token.
@@ -90,7 +90,7 @@ def pieces(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capa
             cols = np.array(out, np.int64).reshape(-1, 5).T
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(cols[0])), pa.array(cols[1].astype(np.int32)), *map(pa.array, cols[2:])], names=["id", "piece", "start", "length", "ids_crc32"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return rows.mapInArrow(lean_batches(run), f"id {rows.schema['id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def plan_best_fit(counts: dict[int, int], capacity: int) -> dict[int, list[tuple[int, int, int, int]]]:
@@ -175,7 +175,7 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capaci
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(seq), pa.array(off)], names=[*b.schema.names[:5], "sequence_id", "offset"])
 
     kind = ranged.schema["id"].dataType.simpleString()
-    return ranged.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranged.mapInArrow(lean_batches(run), f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def op6_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:

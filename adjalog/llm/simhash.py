@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, chunks, mix, table
+from .common import Scratch, Words, chunks, lean_batches, mix, table
 from .components import components
 
 SEED = 42
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3)
             out = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.int64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], names=["id", "fp"])
 
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, fp long")
+    return rows.mapInArrow(lean_batches(run), f"id {rows.schema['id'].dataType.simpleString()}, fp long")
 
 
 def _signed(x: int) -> int:
@@ -146,17 +146,17 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         for b in batches:
-            texts = [t.lower() if t else t for t in b.column(1).to_pylist()]
+            texts = b.column(1).to_pylist()
             out = []
             for i, j in chunks(texts):
-                w = Words(texts[i:j])
+                w = Words([t.lower() if t else t for t in texts[i:j]])
                 h = w.windows(shingle)
                 for a, z in zip(w.first[:-1], w.first[1:]):
                     part = h[a : z - shingle + 1] if z - a >= shingle else mix(np.bitwise_xor.reduce(w.hashes[a:z] * np.arange(1, 2 * (z - a), 2, dtype=np.uint64), keepdims=True)) if z > a else None
                     out.append(None if part is None else wide_fingerprint(part, lanes))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], names=["id", "rank", "fp"])
 
-    marked = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, rank {rows.schema['rank'].dataType.simpleString()}, fp binary")
+    marked = rows.mapInArrow(lean_batches(run), f"id {rows.schema['id'].dataType.simpleString()}, rank {rows.schema['rank'].dataType.simpleString()}, fp binary")
     marked = scratch.keep(marked.withColumn("row", F.monotonically_increasing_id()), "marked")
     classes = scratch.keep(marked.where("fp is not null").groupBy("fp").agg(F.min("row").alias("node")), "classes")
     limit = largest_distance(similarity, 64 * lanes)
@@ -168,14 +168,14 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
                 continue
             raw = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1)
             bits = np.unpackbits(raw, axis=1, bitorder="little")[:, : segments * width].reshape(b.num_rows, segments, width)
-            value = (bits.astype(np.uint64) << place).sum(axis=2, dtype=np.uint64)
             for s in range(segments):
+                value = (bits[:, s].astype(np.uint64) << place).sum(axis=1, dtype=np.uint64)
                 for p in range(width):
                     salt = np.uint64((s * 64 + p) * 0x9E3779B97F4A7C15 % 2**64)
-                    key = mix((value[:, s] & ~(np.uint64(1) << np.uint64(p))) + salt).view(np.int64)
+                    key = mix((value & ~(np.uint64(1) << np.uint64(p))) + salt).view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(key), b.column(1)], names=["key", "node"])
 
-    index = classes.select("fp", "node").mapInArrow(variants, "key long, node long")
+    index = classes.select("fp", "node").mapInArrow(lean_batches(variants), "key long, node long")
     from pyspark.sql import Window
 
     w = Window.partitionBy("key").orderBy("node")
@@ -192,7 +192,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
             ok = np.unpackbits(x ^ y, axis=1).sum(axis=1, dtype=np.int64) <= limit
             yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(ok))
 
-    edges = both.select("u", "v", "fu", "fv").mapInArrow(verify, "u long, v long")
+    edges = both.select("u", "v", "fu", "fv").mapInArrow(lean_batches(verify), "u long, v long")
     roots = components(edges, scratch)
     named = classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("group_key"))
     grouped = scratch.keep(marked.join(named, "fp", "left").select("id", "rank", "row", F.coalesce("group_key", "row").alias("group_key")), "grouped")

@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, chunks, table
+from .common import Words, chunks, lean_group, lean_pair, table
 
 #: Characters of a block: what one task holds at a time.
 BLOCK_CHARS = 8 << 20
@@ -184,15 +184,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         res["kept_text"] = pa.array([x[3] for x in out], pa.binary())
         return pa.table(res)
 
-    marked = spread.groupBy("__block").applyInArrow(sketch, "row int, part long, block long, blob binary")
-    replies = marked.groupBy("row", "part").applyInArrow(merge, "block long, row int, part long, blob binary")
-    found = spread.groupBy("__block").cogroup(replies.groupBy("block")).applyInArrow(_none_if_no_text(candidates, "d", "a", "b"), "d long, a long, b long")
+    marked = spread.groupBy("__block").applyInArrow(lean_group(sketch), "row int, part long, block long, blob binary")
+    replies = marked.groupBy("row", "part").applyInArrow(lean_group(merge), "block long, row int, part long, blob binary")
+    found = spread.groupBy("__block").cogroup(replies.groupBy("block")).applyInArrow(lean_pair(_none_if_no_text(candidates, "d", "a", "b")), "d long, a long, b long")
     first = found.groupBy("a", "b").agg(F.min("d").alias("d"))
     firsts = first.select(F.pmod(F.xxhash64("d"), F.lit(blocks)).alias("block"), F.lit(None).cast("int").alias("row"), F.lit(None).cast("long").alias("part"), F.lit(None).cast("binary").alias("blob"), "d", "a")
     notes = replies.select("block", "row", "part", "blob", F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("a")).unionByName(firsts)
     kinds = {c: docs.schema[c].dataType.simpleString() for c in names}
     schema = ", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), "n_words long, n_removed long, kept_sha256 string, kept_text binary"])
-    out = spread.groupBy("__block").cogroup(notes.groupBy("block")).applyInArrow(finish, schema)
+    out = spread.groupBy("__block").cogroup(notes.groupBy("block")).applyInArrow(lean_pair(finish), schema)
     return out.select(*names, *results[:3], F.col("kept_text").cast("string").alias("kept_text"))
 
 
