@@ -159,7 +159,7 @@ def test_caches(spark):
     keys = [1, 2, 3, 1, 4, 1, 2, 5, 1, 2, 3, 4]
     trace = spark.createDataFrame([(0, i, k) for i, k in enumerate(keys)], "s int, i int, k int")
     got = {r.policy: r.hits for r in caches.simulate(trace, "s", "i", "k", 3).collect()}
-    assert got["lru"] == 4 and got["fifo"] == 2 and got["opt"] >= max(got.values())
+    assert got["lru"] == 4 and got["fifo"] == 3 and got["opt"] >= max(got.values())
     assert caches.simulate(trace.where("false"), "s", "i", "k", 3).count() == 0
     assert caches.bucket_limits(200)[:9] == [1, 2, 3, 4, 6, 9, 13, 19, 28]
     one = caches.bucket_percentile(trace.withColumn("v", F.lit(7)), "s", "v", 99).first()
