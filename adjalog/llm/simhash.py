@@ -171,8 +171,12 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
             for s in range(segments):
                 value = (bits[:, s].astype(np.uint64) << place).sum(axis=1, dtype=np.uint64)
                 for p in range(width):
-                    salt = np.uint64((s * 64 + p) * 0x9E3779B97F4A7C15 % 2**64)
-                    key = mix((value & ~(np.uint64(1) << np.uint64(p))) + salt).view(np.int64)
+                    key = value & ~(np.uint64(1) << np.uint64(p))
+                    if width <= 48:  # the plain variant, with its place above it: it compresses well
+                        key |= np.uint64((s * 64 + p) << 48)
+                    else:
+                        key = mix(key + np.uint64((s * 64 + p) * 0x9E3779B97F4A7C15 % 2**64))
+                    key = key.view(np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(key), b.column(1)], names=["key", "node"])
 
     index = classes.select("fp", "node").mapInArrow(lean_batches(variants), "key long, node long")
