@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, Words, chunks, lean_batches, mix, table
+from .common import Scratch, Words, chunks, lean_batches, lean_group, mix, table
 from .components import components
 
 SEED = 42
@@ -112,96 +112,223 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return marked.join(named, "fp", "left").select("id", "fp", "component")
 
 
-def wide_fingerprint(hashes: np.ndarray, lanes: int) -> bytes:
-    """A SimHash of 64 * lanes bits over distinct shingle hashes."""
-    h = np.unique(hashes)
-    out = []
-    for lane in range(lanes):
-        out.append(2 * _set_bits(mix(h + np.uint64((0x9E3779B97F4A7C15 * (lane + 1)) % 2**64))) > len(h))
-    return _packed(np.concatenate(out))
+#: Cells that count how common shingles are, and the blocks in which tasks send them.
+CELLS, BLOCK = 1 << 22, 1 << 14
+#: Cells of the bit set that tells whose shingles a verification needs.
+WANTED = 1 << 23
+_TINY = 1e-9
 
 
-def largest_distance(similarity: float, bits: int) -> int:
-    """Differing bits expected of two equally large sets at this Jaccard similarity."""
-    return round(math.acos(2 * similarity / (1 + similarity)) / math.pi * bits)
+def shingle_sets(texts: list[bytes | None], shingle: int):
+    """The sorted distinct shingle hashes of each text, None without words; a short text is one shingle."""
+    for i, j in chunks(texts):
+        w = Words([t.lower() if t else t for t in texts[i:j]])
+        h = w.windows(shingle)
+        for a, z in zip(w.first[:-1], w.first[1:]):
+            if z - a >= shingle:
+                yield np.unique(h[a : z - shingle + 1])
+            else:
+                yield mix(np.bitwise_xor.reduce(w.hashes[a:z] * np.arange(1, 2 * (z - a), 2, dtype=np.uint64), keepdims=True)) if z > a else None
 
 
-def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, segments: int = 16, order_col: str | None = None) -> DataFrame:
-    """(id, key, group_key, keeper) for every row: near-duplicates at a Jaccard similarity.
+def node_of(hashes: np.ndarray) -> int:
+    """64 hash bits of a set, signed: equal sets are one node."""
+    return _signed(xxhash.xxh64_intdigest(hashes.tobytes(), seed=SEED))
+
 
-    The fingerprint has ``segments`` segments of about log2(rows) + 4 bits, so that a variant
-    is shared by few unrelated texts at any size of the table. A pair is verified by the
-    distance of the whole fingerprints, which estimates the Jaccard similarity of distinct
-    shingles. Within a variant each fingerprint is compared with the least one and with its
-    neighbours in order, never with all. ``keeper`` is true for one row of each group: that
-    of the smallest ``order_col``, the id if not given (nulls last, then by row). Texts without words form no group: each
-    is kept. ``key`` numbers the rows.
+def parity(hashes: np.ndarray) -> bytes:
+    """How many hashes fall on each of 2 n bits or more, modulo 2.
+
+    Two sets differ in at least as many members as their parities do in bits.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark, "neardup")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").cast("binary").alias("text"), F.col(order_col or id_col).alias("rank"))
-    n = rows.count()
-    width = min(64, max(12, math.ceil(math.log2(n + 1)) + 4))
-    lanes = math.ceil(segments * width / 64)
+    size = max(64, 1 << (2 * len(hashes) - 1).bit_length())
+    return _packed(np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1)
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """Members that are in one set only: not more than really, from the sets' parities."""
+    x, y = sorted((x, y), key=len)
+    folded = np.bitwise_xor.reduce(np.frombuffer(y, np.uint8).reshape(-1, len(x)), axis=0).tobytes()
+    return (int.from_bytes(x, "little") ^ int.from_bytes(folded, "little")).bit_count()
+
+
+def prefix(hashes: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
+    """The rarest members, so many that two sets of that similarity share one of them."""
+    ranked = hashes[np.lexsort((hashes, common[(hashes & np.uint64(CELLS - 1)).astype(np.int64)]))]
+    return ranked[: len(hashes) - math.ceil(similarity * len(hashes) - _TINY) + 1]
+
+
+def _common(texts: DataFrame, shingle: int) -> np.ndarray:
+    """How often the shingles of each cell occur in all rows; it only orders shingles."""
+
+    def tally(batches):
+        counts = np.zeros(CELLS, np.int64)
+        for b in batches:
+            sets = [h for h in shingle_sets(b.column("text").to_pylist(), shingle) if h is not None]
+            if sets:
+                cells, n = np.unique(np.concatenate(sets) & np.uint64(CELLS - 1), return_counts=True)
+                counts[cells.astype(np.int64)] += n
+        counts = np.minimum(counts, 65535).astype(np.uint16).reshape(-1, BLOCK)
+        some = np.flatnonzero(counts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([counts[k].tobytes() for k in some], pa.binary())], names=["block", "counts"])
+
+    def add(t):
+        total = np.zeros(BLOCK, np.int64)
+        for x in t.column("counts"):
+            total += np.frombuffer(x.as_buffer(), np.uint16)
+        total = np.minimum(total, 65535).astype(np.uint16)
+        return pa.table({"block": t.column("block").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    parts = texts.mapInArrow(lean_batches(tally), "block int, counts binary").groupBy("block").applyInArrow(lean_group(add), "block int, counts binary")
+    out = np.zeros((CELLS // BLOCK, BLOCK), np.uint16)
+    for r in parts.collect():
+        out[r.block] = np.frombuffer(r.counts, np.uint16)
+    return out.reshape(-1)
+
+
+def _index(texts: DataFrame, shingle: int, similarity: float, common: np.ndarray) -> DataFrame:
+    """(key, node, size, place): each set's prefix, and how many of its members are rarer."""
 
     def run(batches):
+        seen = set()
         for b in batches:
-            texts = b.column(1).to_pylist()
-            out = []
-            for i, j in chunks(texts):
-                w = Words([t.lower() if t else t for t in texts[i:j]])
-                h = w.windows(shingle)
-                for a, z in zip(w.first[:-1], w.first[1:]):
-                    part = h[a : z - shingle + 1] if z - a >= shingle else mix(np.bitwise_xor.reduce(w.hashes[a:z] * np.arange(1, 2 * (z - a), 2, dtype=np.uint64), keepdims=True)) if z > a else None
-                    out.append(None if part is None else wide_fingerprint(part, lanes))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(out, pa.binary())], names=["id", "rank", "fp"])
-
-    marked = rows.mapInArrow(lean_batches(run), f"id {rows.schema['id'].dataType.simpleString()}, rank {rows.schema['rank'].dataType.simpleString()}, fp binary")
-    marked = scratch.keep(marked.withColumn("row", F.monotonically_increasing_id()), "marked")
-    classes = scratch.keep(marked.where("fp is not null").groupBy("fp").agg(F.min("row").alias("node")), "classes")
-    limit = largest_distance(similarity, 64 * lanes)
+            keys, nodes, sizes, places = [], [], [], []
+            for h in shingle_sets(b.column("text").to_pylist(), shingle):
+                if h is None or (node := node_of(h)) in seen:
+                    continue
+                seen.add(node)
+                head = prefix(h, common, similarity)
+                keys.append(head.view(np.int64))
+                places.append(np.arange(len(head), dtype=np.int32))
+                nodes.append(np.full(len(head), node, np.int64))
+                sizes.append(np.full(len(head), len(h), np.int32))
+            if keys:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (keys, nodes, sizes, places)], names=["key", "node", "size", "place"])
+
+    return texts.mapInArrow(lean_batches(run), "key long, node long, size int, place int")
+
+
+def _able(similarity: float):
+    """Whether sizes and places let the pair (u, v), first met at this key, be similar."""
+    big, small = F.greatest("nu", "nv"), F.least("nu", "nv")
+    return (small >= similarity * big - _TINY) & (F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) >= similarity / (1 + similarity) * (F.col("nu") + F.col("nv")) - _TINY)
 
-    def variants(batches):
-        place = np.arange(width, dtype=np.uint64)
+
+def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, similarity: float, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (u, v) of nodes whose shingle sets have that Jaccard similarity, exactly."""
+    from_u, from_v = (classes.select(F.col("node").alias(c), F.col("bits").alias(f"b{c}"), F.col("size").alias(f"n{c}"), F.col("seen").alias(f"s{c}")) for c in "uv")
+
+    def sift(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            raw = np.frombuffer(b"".join(b.column(0).to_pylist()), np.uint8).reshape(b.num_rows, -1)
-            bits = np.unpackbits(raw, axis=1, bitorder="little")[:, : segments * width].reshape(b.num_rows, segments, width)
-            for s in range(segments):
-                value = (bits[:, s].astype(np.uint64) << place).sum(axis=1, dtype=np.uint64)
-                for p in range(width):
-                    key = value & ~(np.uint64(1) << np.uint64(p))
-                    if width <= 48:  # the plain variant, with its place above it: it compresses well
-                        key |= np.uint64((s * 64 + p) << 48)
-                    else:
-                        key = mix(key + np.uint64((s * 64 + p) * 0x9E3779B97F4A7C15 % 2**64))
-                    key = key.view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(key), b.column(1)], names=["key", "node"])
-
-    index = classes.select("fp", "node").mapInArrow(lean_batches(variants), "key long, node long")
+            x, y, n = b.column("bu").to_pylist(), b.column("bv").to_pylist(), b.column("n").to_pylist()
+            ok = [least_difference(p, q) <= m - 2 * math.ceil(similarity / (1 + similarity) * m - _TINY) for p, q, m in zip(x, y, n)]
+            yield b.select(["u", "v", "su", "sv"]).filter(pa.array(ok, pa.bool_()))
+
+    both = pairs.join(from_u, "u").join(from_v, "v").select("u", "v", "su", "sv", "bu", "bv", (F.col("nu") + F.col("nv")).alias("n"))
+    maybe = scratch.keep(both.mapInArrow(lean_batches(sift), "u long, v long, su long, sv long"), f"{name}-maybe")
+    asked = maybe.select(F.explode(F.array("su", "sv")).alias("seen")).select(F.pmod("seen", F.lit(WANTED)).alias("cell"))
+    blocks = asked.groupBy(F.expr("bitmap_bucket_number(cell)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(cell))").alias("bits")).collect()
+    wanted = np.zeros(((WANTED >> 15) + 1, 4096), np.uint8)
+    for r in blocks:
+        wanted[r.k] = np.frombuffer(r.bits, np.uint8)
+    wanted = wanted.reshape(-1)
+
+    def fetch(batches):
+        sent = set()
+        for b in batches:
+            at = b.column("at").to_numpy(zero_copy_only=False) + b.column("shift").to_numpy(zero_copy_only=False).astype(np.int64) * 32768
+            keep = (wanted[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+            nodes, sets = [], []
+            for h in shingle_sets(b.column("text").filter(pa.array(keep)).to_pylist(), shingle):
+                if h is not None and (node := node_of(h)) not in sent:
+                    sent.add(node)
+                    nodes.append(node)
+                    sets.append(h.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "hashes"])
+
+    cell = F.pmod(F.xxhash64("text"), F.lit(WANTED))
+    asked = texts.select("text", cell.alias("cell")).select("text", F.expr("bitmap_bit_position(cell)").alias("at"), F.expr("bitmap_bucket_number(cell)").cast("int").alias("shift"))
+    sets = asked.mapInArrow(lean_batches(fetch), "node long, hashes binary").dropDuplicates(["node"])
+    sets = scratch.keep(sets, f"{name}-sets")
+
+    def verify(batches):
+        for b in batches:
+            ok = []
+            for x, y in zip(b.column("hu"), b.column("hv")):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                shared = len(np.intersect1d(x, y, assume_unique=True))
+                ok.append(shared >= similarity * (len(x) + len(y) - shared) - _TINY)
+            yield b.select(["u", "v"]).filter(pa.array(ok, pa.bool_()))
+
+    full = maybe.select("u", "v").join(sets.select(F.col("node").alias("u"), F.col("hashes").alias("hu")), "u").join(sets.select(F.col("node").alias("v"), F.col("hashes").alias("hv")), "v")
+    edges = scratch.keep(full.select("u", "v", "hu", "hv").mapInArrow(lean_batches(verify), "u long, v long"), f"{name}-edges")
+    scratch.drop(f"{name}-maybe")
+    scratch.drop(f"{name}-sets")
+    return edges
+
+
+def similar_components(texts: DataFrame, classes: DataFrame, shingle: int, similarity: float, scratch: Scratch) -> DataFrame:
+    """(node, root) over all pairs of nodes at that Jaccard similarity; ``texts`` has (text).
+
+    Two sets that are similar enough share one of the rarest members of each (a prefix), so
+    buckets by prefix member miss no pair, whatever the size of the table. In a first round
+    each member of a bucket is compared with the least and the preceding one. Then all pairs
+    of a bucket are compared that the first round's links leave unconnected.
+    """
     from pyspark.sql import Window
 
-    w = Window.partitionBy("key").orderBy("node")
-    near = index.select("node", F.first("node").over(w).alias("head"), F.lag("node").over(w).alias("last")).where("last is not null")
-    near = near.select(F.explode(F.array_distinct(F.array("head", "last"))).alias("u"), F.col("node").alias("v")).distinct()
-    left, right = classes.select(F.col("node").alias("u"), F.col("fp").alias("fu")), classes.select(F.col("node").alias("v"), F.col("fp").alias("fv"))
-    both = near.join(left, "u").join(right, "v")
+    common = _common(texts, shingle)
+    index = _index(texts, shingle, similarity, common).repartition("key").dropDuplicates(["key", "node"])
+    w = Window.partitionBy("key")
+    shared = scratch.keep(index.withColumn("members", F.count("*").over(w)).where("members > 1").drop("members"), "shared")
+    inside = w.orderBy("size", "node")
+    me = F.struct("node", "size", "place")
+    near = shared.select("node", "size", "place", F.first(me).over(inside).alias("head"), F.lag(me).over(inside).alias("last")).where("last is not null")
+    near = near.select(F.explode(F.array("head", "last")).alias("o"), F.col("node").alias("v"), F.col("size").alias("nv"), F.col("place").alias("pv"))
+    near = near.select(F.col("o.node").alias("u"), F.col("o.size").alias("nu"), F.col("o.place").alias("pu"), "v", "nv", "pv")
+    first = _similar(near.where(_able(similarity)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), classes, texts, shingle, similarity, scratch, "first")
+    roots = scratch.keep(components(first, scratch, "near"), "near-roots")
+
+    placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    mixed = placed.withColumn("lo", F.min("root").over(w)).withColumn("hi", F.max("root").over(w)).where("lo <> hi").drop("lo", "hi")
+    mixed = scratch.keep(mixed, "mixed")
+    left = mixed.select("key", F.col("node").alias("u"), F.col("size").alias("nu"), F.col("place").alias("pu"), F.col("root").alias("ru"))
+    right = mixed.select("key", F.col("node").alias("v"), F.col("size").alias("nv"), F.col("place").alias("pv"), F.col("root").alias("rv"))
+    rest = left.join(right, "key").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & _able(similarity)).select("u", "v").distinct()
+    second = _similar(rest, classes, texts, shingle, similarity, scratch, "second")
+    return components(first.union(second), scratch, "all")
+
+
+def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, order_col: str | None = None) -> DataFrame:
+    """(id, key, group_key, keeper) for every row: near-duplicates at a Jaccard similarity.
 
-    def verify(batches):
+    Rows are linked exactly if the Jaccard similarity of their sets of shingles (as 64-bit
+    hashes) is ``similarity`` or more, and links are followed transitively. ``keeper`` is
+    true for one row of each group: that of the smallest ``order_col``, the id if not given
+    (nulls last, then by row). Texts without words form no group: each is kept. ``key``
+    numbers the rows.
+    """
+    scratch = Scratch(docs.sparkSession, "neardup")
+    text = F.col(text_col).cast("string").cast("binary").alias("text")
+    rows, texts = docs.select(F.col(id_col).alias("id"), text, F.col(order_col or id_col).alias("rank")), docs.select(text)
+
+    def run(batches):
         for b in batches:
-            if not b.num_rows:
-                continue
-            x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(b.num_rows, -1) for c in ("fu", "fv"))
-            ok = np.unpackbits(x ^ y, axis=1).sum(axis=1, dtype=np.int64) <= limit
-            yield pa.RecordBatch.from_arrays([b.column("u"), b.column("v")], names=["u", "v"]).filter(pa.array(ok))
-
-    edges = both.select("u", "v", "fu", "fv").mapInArrow(lean_batches(verify), "u long, v long")
-    roots = components(edges, scratch)
-    named = classes.join(roots, "node", "left").select("fp", F.coalesce("root", "node").alias("group_key"))
-    grouped = scratch.keep(marked.join(named, "fp", "left").select("id", "rank", "row", F.coalesce("group_key", "row").alias("group_key")), "grouped")
-    first = grouped.groupBy("group_key").agg(F.min(F.struct(F.col("rank").isNull().alias("none"), "rank", "row")).alias("m")).select(F.col("m.row").alias("row"), F.lit(True).alias("keeper"))
-    return grouped.join(first, "row", "left").select("id", F.col("row").alias("key"), "group_key", F.coalesce("keeper", F.lit(False)).alias("keeper"))
+            sets = list(shingle_sets(b.column("text").to_pylist(), shingle))
+            nodes = [None if h is None else node_of(h) for h in sets]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rank"), b.column("seen"), pa.array(nodes, pa.int64()), pa.array([None if h is None else len(h) for h in sets], pa.int32()), pa.array([None if h is None else parity(h) for h in sets], pa.binary())], names=["id", "rank", "seen", "node", "size", "bits"])
+
+    kinds = f"id {rows.schema['id'].dataType.simpleString()}, rank {rows.schema['rank'].dataType.simpleString()}"
+    marked = rows.withColumn("seen", F.xxhash64("text")).mapInArrow(lean_batches(run), f"{kinds}, seen long, node long, size int, bits binary")
+    marked = scratch.keep(marked.withColumn("row", F.monotonically_increasing_id()), "marked")
+    # all rows of a node have the same size and bits; one text of it is fetched later
+    classes = scratch.keep(marked.where("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.min("seen").alias("seen")), "classes")
+    roots = similar_components(texts, classes, shingle, similarity, scratch)
+    grouped = scratch.keep(marked.join(roots, "node", "left").select("id", "rank", "row", F.coalesce("root", "node").alias("root")), "grouped")
+    best = F.min(F.struct(F.col("rank").isNull().alias("none"), "rank", "row"))
+    first = grouped.where("root is not null").groupBy("root").agg(best.alias("m"), F.min("row").alias("least"))
+    named = grouped.join(first, "root", "left")
+    return named.select("id", F.col("row").alias("key"), F.coalesce("least", "row").alias("group_key"), (F.col("root").isNull() | (F.col("row") == F.col("m.row"))).alias("keeper"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

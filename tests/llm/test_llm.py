@@ -96,6 +96,53 @@ def test_near_duplicates(spark, empty):
     assert simhash.near_duplicate_groups(empty).count() == 0
 
 
+def shingled(t, k=5):
+    w = t.lower().split()
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+
+def linked(rows, limit=0.8):
+    """The groups of (id, text) by comparing all pairs."""
+    sets, root = {i: shingled(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in sets:
+        for j in sets:
+            if i < j and len(sets[i] & sets[j]) >= limit * len(sets[i] | sets[j]) - 1e-9:
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    groups = {}
+    for i in sets:
+        groups.setdefault(top(i), set()).add(i)
+    return sorted(map(sorted, groups.values()))
+
+
+def grouped(spark, rows):
+    groups = {}
+    for r in simhash.near_duplicate_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        groups.setdefault(r.group_key, set()).add(r.id)
+    return sorted(map(sorted, groups.values()))
+
+
+def fresh(rng, n):
+    return [f"v{rng.randrange(10**9)}" for _ in range(n)]
+
+
+def test_near_duplicates_of_one_template(spark):
+    rng = random.Random(11)
+    template, rows = fresh(rng, 200), []
+    for k in range(150):
+        own = fresh(rng, 60)
+        rows += [(2 * k, " ".join(template + own)), (2 * k + 1, " ".join(template[:185] + fresh(rng, 4) + template[189:] + own[:50] + fresh(rng, 4) + own[54:]))]
+    rng.shuffle(rows)
+    want = linked(rows)
+    assert len(want) == 150
+    assert grouped(spark, rows) == want
+
+
 def test_sketches(spark, docs, empty):
     import re
 
