@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .common import fold, lean_batches, table
 
 #: Bytes of a dictionary: what is learned from a language is a bounded sample of this size,
-#: of whole training texts of up to SAMPLE_CHARS characters.
+#: of training texts, of longer ones a piece of SAMPLE_CHARS characters.
 DICTIONARY_BYTES, SAMPLE_CHARS = 200_000, 20_000
 #: Bytes compressed at a time, so that a long text's own repeats don't drown the dictionary.
 CHUNK = 1000
@@ -42,24 +42,38 @@ def _compressor(content: bytes) -> zstandard.ZstdCompressor:
 def learn_dictionaries(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", size: int = DICTIONARY_BYTES) -> dict[str, bytes]:
     """A dictionary for each non-null language, the most frequent language first.
 
-    A hash of the text draws each language's sample at a rate that its count sets; only that
-    sample comes to the driver. Counts cover all rows.
+    A hash of the text draws each language's sample, each distinct text once, at a rate that
+    the characters of its distinct texts set; only that sample comes to the driver. A
+    language whose draw falls short of ``size`` is drawn again at a higher rate, up to all
+    of its texts. Counts cover all rows. Only a language without any letter has none.
     """
     known = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    short = F.length("text") <= SAMPLE_CHARS
-    counts = known.groupBy("lang").agg(F.count("*").alias("n"), F.sum(F.when(short, F.length("text"))).alias("chars")).collect()
+    known = known.withColumn("hash", F.xxhash64("text", F.lit(8)))
+    spare = F.greatest(F.length("text") - SAMPLE_CHARS, F.lit(0))
+    known = known.withColumn("text", F.substring("text", (F.pmod(F.xxhash64("hash"), spare + 1) + 1).cast("int"), F.lit(SAMPLE_CHARS)))
+    distinct = known.groupBy("lang", "hash").agg(F.count("*").alias("n"), F.max(F.length("text")).alias("chars"))
+    counts = distinct.groupBy("lang").agg(F.sum("n").alias("n"), F.sum("chars").alias("chars")).collect()
     counts = sorted(counts, key=lambda r: (-r.n, r.lang))
-    rate = F.lit(0.0)
-    for r in counts:
-        rate = F.when(F.col("lang") == r.lang, F.lit(min(1.0, 2 * size / max(1, r.chars or 1)))).otherwise(rate)
-    draw = F.pmod(F.xxhash64("text", F.lit(8)), F.lit(1 << 20)) / (1 << 20)
-    sample = known.where(short & (draw < rate)).select("lang", "text").collect()
+    draw = F.pmod("hash", F.lit(1 << 20)) / (1 << 20)
+
+    def plain(batches):
+        for b in batches:
+            out = pa.array([normalised(t) for t in b.column("text").to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column("lang"), out], names=["lang", "plain"])
+
     out = {}
-    for r in counts:
-        texts = sorted({x.text for x in sample if x.lang == r.lang})
-        content = b" ".join(filter(None, map(normalised, texts)))
-        out[r.lang] = content[:size]
-    return {k: v for k, v in out.items() if len(v) >= 8}
+    rates = {r.lang: min(1.0, 2 * size / max(1, r.chars)) for r in counts}
+    while rates:
+        rate = F.lit(0.0)
+        for lang, x in rates.items():
+            rate = F.when(F.col("lang") == lang, F.lit(x)).otherwise(rate)
+        drawn = known.where(draw < rate).dropDuplicates(["lang", "hash"]).select("lang", "text")
+        sample = drawn.mapInArrow(lean_batches(plain), "lang string, plain binary").where("length(plain) > 0").collect()
+        for lang in rates:
+            out[lang] = b" ".join(sorted({bytes(x.plain) for x in sample if x.lang == lang}))[:size]
+        rates = {lang: min(1.0, 8 * x) for lang, x in rates.items() if x < 1 and len(out[lang]) < size}
+    # a raw dictionary takes 8 bytes at least
+    return {r.lang: v if len(v) >= 8 else b" ".join([v] * 8) for r in counts if (v := out[r.lang])}
 
 
 def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "text", margin: float = MARGIN) -> DataFrame:

@@ -246,6 +246,20 @@ def test_language(spark, docs, empty):
     assert language.identify(empty, language.learn_dictionaries(empty)).count() == 0
 
 
+def test_languages_of_copies_and_of_long_texts(spark):
+    rng = random.Random(14)
+    words = {lang: ["".join(rng.choice(letters) for _ in range(6)) for _ in range(400)] for lang, letters in {"aa": "abcdefg", "bb": "hijklmn", "cc": "opqrstu"}.items()}
+    make = lambda lang, n: " ".join(rng.choice(words[lang]) for _ in range(n))
+    rows = [("aa", make("aa", 100)) for _ in range(50)]
+    rows += [("bb", make("bb", 4000)) for _ in range(5)]  # all of 27,999 characters
+    rows += [("cc", t) for t in [make("cc", 285) for _ in range(10)] for _ in range(400)] + [("dd", "zz y")]
+    learned = language.learn_dictionaries(spark.createDataFrame(rows, "lang string, text string"))
+    assert list(learned) == ["cc", "aa", "bb", "dd"]
+    assert len(learned["cc"]) > 19_000 and len(learned["bb"]) > 90_000
+    asked = spark.createDataFrame([(lang, make(lang, 80)) for lang in words], "lang string, text string")
+    assert all(r.lang_pred == r.lang for r in language.identify(asked, learned).collect())
+
+
 def test_mixing(spark, docs, empty):
     rows, draws = mixing.mix_sources(docs)
     got, times = rows.collect(), Counter(r.row for r in draws.collect())
