@@ -143,6 +143,22 @@ def test_near_duplicates_of_one_template(spark):
     assert grouped(spark, rows) == want
 
 
+def test_near_duplicates_at_every_size(spark):
+    rng = random.Random(12)
+    rows = []
+    for k in range(60):
+        a = fresh(rng, 300)
+        b = a[:]
+        for at in rng.sample(range(10, 290, 20), 6):
+            b[at] = f"w{rng.randrange(10**9)}"
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+    want = linked(rows)
+    assert len(want) == 60
+    assert grouped(spark, rows) == want
+    others = [(1000 + i, " ".join(fresh(rng, 12))) for i in range(20_000)]
+    assert [g for g in grouped(spark, rows + others) if g[0] < 1000] == want
+
+
 def test_sketches(spark, docs, empty):
     import re
 
