@@ -159,6 +159,18 @@ def test_near_duplicates_at_every_size(spark):
     assert [g for g in grouped(spark, rows + others) if g[0] < 1000] == want
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    rng = random.Random(13)
+    rows = []
+    for k in range(60):  # 270 shingles each; 240 shared of 300 are 0.8, 239 of 301 less
+        a = fresh(rng, 274)
+        same = 244 if k % 2 else 243
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(a[:same] + fresh(rng, 274 - same)))]
+    want = linked(rows)
+    assert [len(g) for g in want].count(2) == 30
+    assert grouped(spark, rows) == want
+
+
 def test_sketches(spark, docs, empty):
     import re
 
