@@ -60,7 +60,7 @@ def split_tree(quotas: np.ndarray, shards: int, seed: int) -> np.ndarray:
     return out
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS, seed: int = 7) -> tuple[DataFrame, DataFrame]:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, share: float = SHARE, most: float = MOST, shards: int = SHARDS, seed: int = 7, row_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(rows, draws). rows: (row, id, source, size, source_size, target, copies), one for each input row.
     draws: (row, shard, place), one for each copy drawn; ``place`` orders a shard's rows.
 
@@ -74,8 +74,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "mix")
-    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(text_col)).alias("h"))
-    base = scratch.keep(base.withColumn("row", F.monotonically_increasing_id()), "base")
+    base = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.col(text_col)).alias("h"), (F.monotonically_increasing_id() if row_col is None else F.col(row_col).cast("long")).alias("row"))
+    base = scratch.keep(base, "base")
     totals = base.groupBy("source").agg(F.sum("size").alias("total"), F.count("*").alias("docs"))
     plan = scratch.keep(targets(totals, weights, share, most).withColumn("blocks", F.ceil(F.col("docs") / BLOCK_DOCS)), "plan")
     with_plan = base.alias("b").join(plan.alias("p"), F.col("b.source").eqNullSafe(F.col("p.source"))).select("b.*", "p.total", "p.target", "p.blocks")
@@ -127,13 +127,14 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     bands = drawn.groupBy("source", band.alias("band")).agg(F.count("*").alias("n")).withColumn("ahead", F.coalesce(F.sum("n").over(Window.partitionBy("source").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     ranked = ranked.alias("x").join(bands.alias("y"), F.col("x.source").eqNullSafe(F.col("y.source")) & (F.col("x.band") == F.col("y.band"))).select("x.source", "x.block", "x.pass", (F.col("x.r") + F.col("y.ahead")).alias("draw"))
     dealt = ranked.alias("x").join(shares.alias("y"), F.col("x.source").eqNullSafe(F.col("y.source"))).select("x.source", "x.block", "x.pass", F.size(F.filter("y.ends", lambda e: e < F.col("x.draw"))).alias("shard"))
-    copies = chosen.where("copies > 0").select("row", "source", "block", F.explode(F.sequence(F.lit(1), "copies")).alias("pass"))
-    draws = copies.alias("c").join(dealt.alias("d"), same("c", "d") & (F.col("c.pass") == F.col("d.pass"))).select("c.row", "d.shard", F.xxhash64(F.lit(seed + 3), "c.row", "c.pass").alias("place"))
+    copies = chosen.where("copies > 0").select("row", "source", "block", "order", F.explode(F.sequence(F.lit(1), "copies")).alias("pass"))
+    draws = copies.alias("c").join(dealt.alias("d"), same("c", "d") & (F.col("c.pass") == F.col("d.pass"))).select("c.row", "d.shard", F.xxhash64(F.lit(seed + 3), "c.order", "c.pass").alias("place"))
     out = chosen.select("row", "id", "source", "size", F.col("total").alias("source_size"), "target", "copies")
     return out, draws
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, draws = mix_sources(table(spark, sf_dir, "documents"))
-    taken = draws.groupBy("row").agg(F.count("*").alias("times"))
-    return rows.join(taken, "row", "left").select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.coalesce("times", F.lit(0))).alias("taken"))
+    taken = draws.groupBy("row").agg(F.sort_array(F.collect_list("shard")).alias("shards"))  # two at most
+    shards = F.coalesce("shards", F.array().cast("array<int>"))
+    return rows.join(taken, "row", "left").select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.size(shards)).alias("taken"), F.array_join(shards.cast("array<string>"), ",").alias("shards"))

@@ -305,8 +305,10 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows are linked exactly if the Jaccard similarity of their sets of shingles (as 64-bit
     hashes) is ``similarity`` or more, and links are followed transitively. ``keeper`` is
     true for one row of each group: that of the smallest ``order_col``, the id if not given
-    (nulls last, then by row). Texts without words form no group: each is kept. ``key``
-    numbers the rows.
+    (nulls last, then by a hash of the text, then by row), so reruns keep the same documents.
+    Repeated rows are copies of each other. Texts without words, null ones among them, form
+    no group: each is kept. Whole texts count, however long; other columns, whatever their
+    names, are not read; an empty table gives no rows. ``key`` numbers the rows.
     """
     scratch = Scratch(docs.sparkSession, "neardup")
     text = F.col(text_col).cast("string").cast("binary").alias("text")
@@ -324,9 +326,9 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     # all rows of a node have the same size and bits; one text of it is fetched later
     classes = scratch.keep(marked.where("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.min("seen").alias("seen")), "classes")
     roots = similar_components(texts, classes, shingle, similarity, scratch)
-    grouped = scratch.keep(marked.join(roots, "node", "left").select("id", "rank", "row", F.coalesce("root", "node").alias("root")), "grouped")
-    best = F.min(F.struct(F.col("rank").isNull().alias("none"), "rank", "row"))
-    first = grouped.where("root is not null").groupBy("root").agg(best.alias("m"), F.min("row").alias("least"))
+    grouped = scratch.keep(marked.join(roots, "node", "left").select("id", "rank", "seen", "row", F.coalesce("root", "node").alias("root")), "grouped")
+    best = F.min(F.struct(F.col("rank").isNull().alias("none"), "rank", "seen", "row"))
+    first = scratch.keep(grouped.where("root is not null").groupBy("root").agg(best.alias("m"), F.min("row").alias("least")), "first")
     named = grouped.join(first, "root", "left")
     return named.select("id", F.col("row").alias("key"), F.coalesce("least", "row").alias("group_key"), (F.col("root").isNull() | (F.col("row") == F.col("m.row"))).alias("keeper"))
 
