@@ -13,7 +13,7 @@ from functools import partial
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, Words, chunks, lean_batches, lean_group, mix, table
@@ -164,10 +164,11 @@ def _common(texts: DataFrame, shingle: int) -> np.ndarray:
     def tally(batches):
         counts = np.zeros(CELLS, np.int64)
         for b in batches:
-            sets = [h for h in shingle_sets(b.column("text").to_pylist(), shingle) if h is not None]
-            if sets:
-                cells, n = np.unique(np.concatenate(sets) & np.uint64(CELLS - 1), return_counts=True)
-                counts[cells.astype(np.int64)] += n
+            for i in range(0, b.num_rows, 1000):
+                sets = [h for h in shingle_sets(b.column("text").slice(i, 1000).to_pylist(), shingle) if h is not None]
+                if sets:
+                    cells, n = np.unique(np.concatenate(sets) & np.uint64(CELLS - 1), return_counts=True)
+                    counts[cells.astype(np.int64)] += n
         counts = np.minimum(counts, 65535).astype(np.uint16).reshape(-1, BLOCK)
         some = np.flatnonzero(counts.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([counts[k].tobytes() for k in some], pa.binary())], names=["block", "counts"])
@@ -191,9 +192,9 @@ def _index(texts: DataFrame, shingle: int, similarity: float, common: np.ndarray
 
     def run(batches):
         seen = set()
-        for b in batches:
+        for texts in (b.column("text").slice(i, 1000).to_pylist() for b in batches for i in range(0, b.num_rows, 1000)):
             keys, nodes, sizes, places = [], [], [], []
-            for h in shingle_sets(b.column("text").to_pylist(), shingle):
+            for h in shingle_sets(texts, shingle):
                 if h is None or (node := node_of(h)) in seen:
                     continue
                 seen.add(node)
@@ -214,20 +215,13 @@ def _able(similarity: float):
     return (small >= similarity * big - _TINY) & (F.least(F.col("nu") - F.col("pu"), F.col("nv") - F.col("pv")) >= similarity / (1 + similarity) * (F.col("nu") + F.col("nv")) - _TINY)
 
 
-def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, similarity: float, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (u, v) of nodes whose shingle sets have that Jaccard similarity, exactly."""
-    from_u, from_v = (classes.select(F.col("node").alias(c), F.col("bits").alias(f"b{c}"), F.col("size").alias(f"n{c}"), F.col("seen").alias(f"s{c}")) for c in "uv")
+def _sets(texts: DataFrame, asked: DataFrame, shingle: int) -> DataFrame:
+    """(node, hashes): the sets of the texts whose hash is in ``asked`` (seen), and of some others.
 
-    def sift(batches):
-        for b in batches:
-            x, y, n = b.column("bu").to_pylist(), b.column("bv").to_pylist(), b.column("n").to_pylist()
-            ok = [least_difference(p, q) <= m - 2 * math.ceil(similarity / (1 + similarity) * m - _TINY) for p, q, m in zip(x, y, n)]
-            yield b.select(["u", "v", "su", "sv"]).filter(pa.array(ok, pa.bool_()))
-
-    both = pairs.join(from_u, "u").join(from_v, "v").select("u", "v", "su", "sv", "bu", "bv", (F.col("nu") + F.col("nv")).alias("n"))
-    maybe = scratch.keep(both.mapInArrow(lean_batches(sift), "u long, v long, su long, sv long"), f"{name}-maybe")
-    asked = maybe.select(F.explode(F.array("su", "sv")).alias("seen")).select(F.pmod("seen", F.lit(WANTED)).alias("cell"))
-    blocks = asked.groupBy(F.expr("bitmap_bucket_number(cell)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(cell))").alias("bits")).collect()
+    The hashes asked for come to the driver as a bit set of fixed size, never as rows.
+    """
+    cells = asked.select(F.pmod("seen", F.lit(WANTED)).alias("cell"))
+    blocks = cells.groupBy(F.expr("bitmap_bucket_number(cell)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(cell))").alias("bits")).collect()
     wanted = np.zeros(((WANTED >> 15) + 1, 4096), np.uint8)
     for r in blocks:
         wanted[r.k] = np.frombuffer(r.bits, np.uint8)
@@ -247,9 +241,24 @@ def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: in
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "hashes"])
 
     cell = F.pmod(F.xxhash64("text"), F.lit(WANTED))
-    asked = texts.select("text", cell.alias("cell")).select("text", F.expr("bitmap_bit_position(cell)").alias("at"), F.expr("bitmap_bucket_number(cell)").cast("int").alias("shift"))
-    sets = asked.mapInArrow(lean_batches(fetch), "node long, hashes binary").dropDuplicates(["node"])
-    sets = scratch.keep(sets, f"{name}-sets")
+    rows = texts.select("text", cell.alias("cell")).select("text", F.expr("bitmap_bit_position(cell)").alias("at"), F.expr("bitmap_bucket_number(cell)").cast("int").alias("shift"))
+    return rows.mapInArrow(lean_batches(fetch), "node long, hashes binary").dropDuplicates(["node"])
+
+
+def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: int, similarity: float, scratch: Scratch, name: str) -> DataFrame:
+    """The pairs (u, v) of nodes whose shingle sets have that Jaccard similarity, exactly."""
+    from_u, from_v = (classes.select(F.col("node").alias(c), F.col("bits").alias(f"b{c}"), F.col("size").alias(f"n{c}"), F.col("seen").alias(f"s{c}")) for c in "uv")
+
+    def sift(batches):
+        for b in batches:
+            x, y, n = b.column("bu").to_pylist(), b.column("bv").to_pylist(), b.column("n").to_pylist()
+            ok = [least_difference(p, q) <= m - 2 * math.ceil(similarity / (1 + similarity) * m - _TINY) for p, q, m in zip(x, y, n)]
+            yield b.select(["u", "v", "su", "sv"]).filter(pa.array(ok, pa.bool_()))
+
+    both = pairs.join(from_u, "u").join(from_v, "v").select("u", "v", "su", "sv", "bu", "bv", (F.col("nu") + F.col("nv")).alias("n"))
+    maybe = scratch.keep(both.mapInArrow(lean_batches(sift), "u long, v long, su long, sv long"), f"{name}-maybe")
+    asked = maybe.select(F.col("su").alias("seen")).distinct().union(maybe.select(F.col("sv").alias("seen")).distinct())
+    sets = scratch.keep(_sets(texts, asked, shingle), f"{name}-sets")
 
     def verify(batches):
         for b in batches:
@@ -267,36 +276,92 @@ def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: in
     return edges
 
 
+def segment_keys(hashes: np.ndarray, similarity: float) -> np.ndarray:
+    """Deletion-variant signatures of a set's segments: similar sets share one of them.
+
+    Sets of at most M members at that similarity differ in d = 2 M (1 - s) / (1 + s) members
+    at most. Cut by hash into d // 2 + 1 segments, one segment differs by one member at most,
+    so the two share a key among the segment's hash and those with one member left out. M
+    steps by 1 / s: a set has the keys of its own step and of the next one, and two similar
+    sets are at most one step apart.
+    """
+    n, h, out = len(hashes), mix(hashes + np.uint64(0x9E3779B97F4A7C15)), []
+    step = math.floor(math.log(n) / -math.log(similarity) + _TINY)
+    for c in (step, step + 1):
+        most = math.floor(similarity ** -(c + 1) + _TINY)
+        parts = math.floor(2 * most * (1 - similarity) / (1 + similarity) + _TINY) // 2 + 1
+        part = ((h >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
+        total = np.zeros(parts, np.uint64)
+        np.add.at(total, part, h)
+        tag = np.arange(parts, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(c)
+        out += [mix(total + tag), mix(total[part] - h + tag[part])]
+    return np.unique(np.concatenate(out))
+
+
+def _near_places(rows: DataFrame, order: list) -> DataFrame:
+    """Each member of a bucket beside the first and the preceding one in that order, if of another root."""
+    inside = Window.partitionBy("key").orderBy(*order)
+    me = F.struct("node", "size", "place", "root")
+    near = rows.select("node", "size", "place", "root", F.first(me).over(inside).alias("head"), F.lag(me).over(inside).alias("last")).where("last is not null")
+    near = near.select(F.explode(F.array("head", "last")).alias("o"), F.col("node").alias("v"), F.col("size").alias("nv"), F.col("place").alias("pv"), F.col("root").alias("rv"))
+    return near.select(F.col("o.node").alias("u"), F.col("o.size").alias("nu"), F.col("o.place").alias("pu"), F.col("o.root").alias("ru"), "v", "nv", "pv", "rv").where("ru <> rv")
+
+
+def _able_pairs(pairs: DataFrame, similarity: float) -> DataFrame:
+    return pairs.where(_able(similarity)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def _met(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs of rows (key, node, size, root, ...) that share a key but not a root."""
+    left, right = (rows.select("key", *[F.col(c).alias(f"{c[0] if c != 'size' else 'n'}{side}") for c in columns], F.col("node").alias(side)) for side in "uv")
+    return left.join(right, "key").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")))
+
+
 def similar_components(texts: DataFrame, classes: DataFrame, shingle: int, similarity: float, scratch: Scratch) -> DataFrame:
     """(node, root) over all pairs of nodes at that Jaccard similarity; ``texts`` has (text).
 
     Two sets that are similar enough share one of the rarest members of each (a prefix), so
-    buckets by prefix member miss no pair, whatever the size of the table. In a first round
-    each member of a bucket is compared with the least and the preceding one. Then all pairs
-    of a bucket are compared that the first round's links leave unconnected.
+    buckets by prefix member miss no pair, whatever the size of the table. Two rounds compare
+    each member of a bucket with the first and the preceding one only, by size and then in an
+    order drawn for each bucket; they connect all but the stragglers of a group of copies.
+    What these links leave unconnected is compared exactly: all pairs of a bucket of up to
+    CROWDED members; members of a larger one meet by ``segment_keys`` instead, which miss no
+    pair either and are shared only by sets that agree on a whole segment.
     """
-    from pyspark.sql import Window
-
     common = _common(texts, shingle)
     index = _index(texts, shingle, similarity, common).repartition("key").dropDuplicates(["key", "node"])
     w = Window.partitionBy("key")
-    shared = scratch.keep(index.withColumn("members", F.count("*").over(w)).where("members > 1").drop("members"), "shared")
-    inside = w.orderBy("size", "node")
-    me = F.struct("node", "size", "place")
-    near = shared.select("node", "size", "place", F.first(me).over(inside).alias("head"), F.lag(me).over(inside).alias("last")).where("last is not null")
-    near = near.select(F.explode(F.array("head", "last")).alias("o"), F.col("node").alias("v"), F.col("size").alias("nv"), F.col("place").alias("pv"))
-    near = near.select(F.col("o.node").alias("u"), F.col("o.size").alias("nu"), F.col("o.place").alias("pu"), "v", "nv", "pv")
-    first = _similar(near.where(_able(similarity)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), classes, texts, shingle, similarity, scratch, "first")
-    roots = scratch.keep(components(first, scratch, "near"), "near-roots")
-
-    placed = shared.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = placed.withColumn("lo", F.min("root").over(w)).withColumn("hi", F.max("root").over(w)).where("lo <> hi").drop("lo", "hi")
-    mixed = scratch.keep(mixed, "mixed")
-    left = mixed.select("key", F.col("node").alias("u"), F.col("size").alias("nu"), F.col("place").alias("pu"), F.col("root").alias("ru"))
-    right = mixed.select("key", F.col("node").alias("v"), F.col("size").alias("nv"), F.col("place").alias("pv"), F.col("root").alias("rv"))
-    rest = left.join(right, "key").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & _able(similarity)).select("u", "v").distinct()
-    second = _similar(rest, classes, texts, shingle, similarity, scratch, "second")
-    return components(first.union(second), scratch, "all")
+    shared = scratch.keep(index.withColumn("members", F.count("*").over(w)).where("members > 1"), "shared")
+    first = _similar(_able_pairs(_near_places(shared.withColumn("root", F.col("node")), ["size", "node"]), similarity), classes, texts, shingle, similarity, scratch, "first")
+
+    def unconnected(rows: DataFrame, edges: DataFrame, name: str) -> DataFrame:
+        roots = scratch.keep(components(edges, scratch, name), f"{name}-roots")
+        placed = rows.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        placed = placed.withColumn("lo", F.min("root").over(w)).withColumn("hi", F.max("root").over(w)).where("lo <> hi").drop("lo", "hi")
+        return scratch.keep(placed, f"{name}-mixed")
+
+    # the first round has seen all pairs of three members
+    mixed = unconnected(shared.where("members > 3"), first, "one")
+    second = _similar(_able_pairs(_near_places(mixed, [F.xxhash64("node", "key"), "node"]), similarity), classes, texts, shingle, similarity, scratch, "second")
+    mixed = unconnected(mixed.drop("root"), first.union(second), "two")
+    few = _able_pairs(_met(mixed.where(F.col("members") <= CROWDED), ["size", "place", "root"]), similarity)
+
+    crowd = scratch.keep(mixed.where(F.col("members") > CROWDED).select("node", "size", "root").distinct().join(classes.select("node", "seen"), "node"), "crowd")
+
+    def cut(batches):
+        for b in batches:
+            keys = [segment_keys(np.frombuffer(x.as_buffer(), np.uint64), similarity) for x in b.column("hashes")]
+            if keys:
+                at = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
+                cols = [pa.array(np.concatenate(keys).view(np.int64)), *(b.column(c).take(pa.array(at)) for c in ("node", "size", "root"))]
+                yield pa.RecordBatch.from_arrays(cols, names=["key", "node", "size", "root"])
+
+    sets = _sets(texts, crowd.select("seen").distinct(), shingle)
+    cuts = crowd.join(sets, "node").select("node", "size", "root", "hashes").mapInArrow(lean_batches(cut), "key long, node long, size int, root long")
+    size_ok = F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - _TINY
+    many = _met(cuts, ["size", "root"]).where(size_ok).select("u", "v").distinct()
+    third = _similar(few.union(many).distinct(), classes, texts, shingle, similarity, scratch, "third")
+    return components(first.union(second).union(third), scratch, "all")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, order_col: str | None = None) -> DataFrame:
