@@ -1,15 +1,15 @@
 """Operator 2: document fingerprints as invertible Bloom lookup sketches.
 
-A text is cut into paragraphs: lines, and runs of sentences within a line that begin with a
-letter from A to H. Its set of paragraph digests goes into the cells of a sketch, each digest
-into three of them by three hashes; a cell holds a count, the xor of its digests and the xor
-of check hashes. Two sketches subtract cell by cell; what is left peels: a cell with one
-digest gives it away, and taking it out of its other cells may lay bare more.
-
-The first attempt keeps cells as rows, sized by an estimate of the difference, and peels in
-rounds of grouping that all stay in the partition of the text. A pair that fails is retried
-with larger sketches, kept as arrays in groups of nine cells; if all fail, sets are compared.
-All of it is DataFrame functions; no Python runs on the executors.
+A text is cut into paragraphs; its set of paragraph digests goes into the cells of a sketch,
+each digest into one cell of each of three rows. A cell holds a count, the xor of its digests
+and the xor of their check hashes. The number of cells follows the number of digests, so the
+sketch alone gives all of them back. Rows have a power of two of cells, so a larger sketch
+folds into a smaller one.
+
+Two fingerprints subtract cell by cell at the smaller one's size; what is left peels: a cell
+with one digest gives it away, and taking it out of its other cells may lay bare more. A pair
+that fails is retried with larger sketches of the same digests; if these fail too, the sets
+are compared. All of it is DataFrame functions on the row; no Python runs on the executors.
 """
 
 from __future__ import annotations
@@ -19,171 +19,156 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-#: Where paragraphs end.
-CUT = r"\n|(?<=[.!?])[ \t]+(?=[A-H])"
-#: Coarse groups of each level; a level has the square of it as groups.
-LEVELS = (8, 32)
-#: Rounds of peeling in a group; a level takes one digest for each group, on average.
-ROUNDS = 4
-#: Rounds of peeling of the first attempt.
-SWEEPS = 6
+#: A paragraph is a line; one of more characters than LONG is cut where sentences end.
+LONG, SENTENCE = 400, r"(?<=[.!?])\s+|(?<=[。！？])"
+#: What larger sketches of a failed pair have, as a multiple of the larger one's cells.
+LARGER = (2, 8)
+#: Rounds of peeling at most; a round that finds nothing ends it.
+ROUNDS = 40
 #: Rows of one ordered bucket, about, and buckets at most (more rows make larger buckets).
 BUCKET_ROWS, BUCKETS = 500, 1 << 16
 
-_SLOT = "pmod(shiftrightunsigned({x}, 8 * cast({i} div 3 as int)) & 255, 3) = {i} % 3"
-_NONE = "named_struct('n', 0, 'k', 0L, 'h', 0L)"
+_CELLS = "array<struct<c: bigint, n: int, k: bigint, h: int>>"
+_FOUND = "array<struct<k: bigint, n: int>>"
 
 
 def paragraph_digests(text: Column) -> Column:
-    """The set of digests of a text's paragraphs; none for a null or blank text."""
-    parts = F.filter(F.split(F.coalesce(text, F.lit("")), CUT), lambda p: F.length(F.trim(p)) > 0)
-    return F.array_distinct(F.transform(parts, lambda p: F.xxhash64(p)))
+    """The set of digests of a text's paragraphs that hold more than spaces; none for a null text."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    parts = F.flatten(F.transform(lines, lambda x: F.when(F.length(x) > LONG, F.split(x, SENTENCE)).otherwise(F.array(x))))
+    return F.array_distinct(F.transform(F.filter(parts, lambda p: F.length(F.trim(p)) > 0), lambda p: F.xxhash64(p)))
 
 
-def _cells(items: str) -> str:
-    hit = _SLOT.format(x="x", i="i")
-    return f"transform(sequence(0, 8), i -> aggregate(filter({items}, x -> {hit}), {_NONE}, (a, x) -> named_struct('n', a.n + 1, 'k', a.k ^ x, 'h', a.h ^ xxhash64(x, 1))))"
+def _let(name: str, value: str, body: str) -> str:
+    """SQL with a value computed once and used under a name."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _group(items: str, shift: int, size: int, var: str) -> str:
-    return f"filter({items}, x -> pmod(shiftrightunsigned(x, {shift}), {size}) = {var})"
+def cells_a_row(n: str) -> str:
+    """SQL: the power of two of cells in each of the three rows, for n digests."""
+    return f"cast(pow(2, ceil(log2({n} / 2 + 3))) as bigint)"
 
 
-def sketch(digests: str, coarse: int = 1) -> str:
-    """SQL: the groups (arrays of nine cells) of an array of digests; coarse ** 2 of them."""
-    if coarse == 1:
-        return f"array({_cells(digests)})"
-    inner = f"transform(transform(sequence(0, {coarse - 1}), f -> {_group('c', 50, coarse, 'f')}), t -> {_cells('t')})"
-    return f"flatten(transform(transform(sequence(0, {coarse - 1}), g -> {_group(digests, 32, coarse, 'g')}), c -> {inner}))"
+def _entries(items: str, sign: str, x: str, m: str) -> str:
+    """SQL: the three cells of each item; the row is above bit 40, the place below."""
+    cell = "named_struct('c', shiftleft({r}L, 40) | (shiftrightunsigned({x}, {s}) & ({m} - 1)), 'n', cast({sign} as int), 'k', {x}, 'h', hash({x}))"
+    three = ", ".join(cell.format(r=r, s=21 * r, x=x, m=m, sign=sign) for r in range(3))
+    return f"flatten(transform({items}, y -> array({three})))"
 
 
-def subtract(a: str, b: str) -> str:
-    return f"zip_with({a}, {b}, (p, q) -> zip_with(p, q, (u, v) -> named_struct('n', u.n - v.n, 'k', u.k ^ v.k, 'h', u.h ^ v.h)))"
+def merged(entries: str) -> str:
+    """SQL: entries of one cell as one, those that cancel left out; in order of the cells."""
+    total = "aggregate(slice(s, p + 1, coalesce(get(starts, j + 1), size(s)) - p), named_struct('c', s[p].c, 'n', 0, 'k', 0L, 'h', 0), (a, x) -> named_struct('c', a.c, 'n', a.n + x.n, 'k', a.k ^ x.k, 'h', a.h ^ x.h))"
+    some = _let("starts", "filter(sequence(0, size(s) - 1), i -> i = 0 or s[i].c <> s[i - 1].c)", f"filter(transform(starts, (p, j) -> {total}), z -> z.n <> 0 or z.k <> 0 or z.h <> 0)")
+    return _let("s", f"array_sort({entries})", f"if(size(s) = 0, cast(array() as {_CELLS}), {some})")
 
 
-def peel(groups: str) -> str:
-    """SQL: the differing digests with their signs, or null if some cell would not peel."""
-    hit = _SLOT.format(x="y.k", i="i")
-    pure = "array_distinct(transform(filter(s.cells, c -> abs(c.n) = 1 and c.h = xxhash64(c.k, 1)), c -> named_struct('k', c.k, 'n', c.n)))"
-    take = f"transform(s.cells, (c, i) -> aggregate(filter(z, y -> {hit}), c, (m, y) -> named_struct('n', m.n - y.n, 'k', m.k ^ y.k, 'h', m.h ^ xxhash64(y.k, 1))))"
-    step = f"element_at(transform(array({pure}), z -> if(size(z) = 0, s, named_struct('cells', {take}, 'found', concat(s.found, z)))), 1)"
-    empty = "cast(array() as array<struct<k: bigint, n: int>>)"
-    step = f"if(forall(s.cells, c -> c.n = 0), s, {step})"
-    clean = "forall(s.cells, c -> c.n = 0 and c.k = 0 and c.h = 0)"
-    one = f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', d, 'found', {empty}), (s, r) -> {step}, s -> if({clean}, s.found, null))"
-    return f"element_at(transform(array(transform({groups}, d -> {one})), w -> if(exists(w, e -> e is null), null, flatten(w))), 1)"
+def sketch(digests: str, m: str, sign: str = "1") -> str:
+    """SQL: the cells of an array of digests that are not empty."""
+    return merged(_entries(digests, sign, "y", m))
+
 
+def subtract(a: str, b: str, m: str) -> str:
+    """SQL: the cells of sketch a less those of b, both folded to m cells a row."""
+    fold = "named_struct('c', (x.c & -1099511627776L) | (x.c & ({m} - 1)), 'n', {n}x.n, 'k', x.k, 'h', x.h)"
+    return merged(f"concat(transform({a}, x -> {fold.format(m=m, n='')}), transform({b}, x -> {fold.format(m=m, n='-')}))")
 
-def guess(a: str, b: str) -> Column:
-    """An estimate of how many digests differ, from those whose hash ends in three zero bits."""
-    few = lambda x, y: f"size(array_except(filter({x}, x -> shiftrightunsigned(x, 24) & 7 = 0), {y}))"
-    return F.expr(f"greatest(8 * ({few(a, b)} + {few(b, a)}), abs(size({a}) - size({b})))")
+
+def peel(cells: str, m: str) -> str:
+    """SQL: the differing digests with their signs, or null if some cell would not peel."""
+    pure = "array_distinct(transform(filter(t.cells, c -> abs(c.n) = 1 and c.h = hash(c.k)), c -> named_struct('k', c.k, 'n', c.n)))"
+    after = merged(f"concat(t.cells, {_entries('pure', '-y.n', 'y.k', m)})")
+    step = _let("pure", pure, f"if(size(pure) = 0, named_struct('cells', t.cells, 'found', t.found, 'live', false), named_struct('cells', {after}, 'found', concat(t.found, pure), 'live', true))")
+    start = f"named_struct('cells', {cells}, 'found', cast(array() as {_FOUND}), 'live', true)"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (t, r) -> if(not t.live or size(t.cells) = 0, t, {step}), t -> if(size(t.cells) = 0, t.found, null))"
 
 
-def likeness(a: str, b: str, guessed: str) -> Column:
-    """1 less the differing digests' share of both sets, from the sketches of columns a and b.
+def difference(a: str, b: str) -> str:
+    """SQL: the digests in one of two fingerprints only, as (k, n), n = 1 for a's and -1 for b's.
 
-    ``guessed``, an estimate of the difference, says which level to try first; a failure goes on to the next. If all fail
-    the sets are compared. Two empty sets are alike.
+    ``a`` and ``b`` are structs (digests, m, cells). The sketches themselves come first; the
+    digests make the larger ones of a failed pair.
     """
-    tries = [f"if({guessed} <= {c * c}, array_size({peel(subtract(sketch(a, c), sketch(b, c)))}), null)" for c in LEVELS]
-    exact = f"size(array_except({a}, {b})) + size(array_except({b}, {a}))"
-    return F.expr(f"if(size({a}) + size({b}) = 0, 1.0D, 1.0D - coalesce({', '.join([*tries, exact])}) / (size({a}) + size({b})))").cast("double")
+    tries = [_let("m", f"least({a}.m, {b}.m)", peel(subtract(f"{a}.cells", f"{b}.cells", "m"), "m"))]
+    for k in LARGER:
+        both = merged(f"concat({_entries(f'{a}.digests', '1', 'y', 'm')}, {_entries(f'{b}.digests', '-1', 'y', 'm')})")
+        tries.append(_let("m", f"{k} * greatest({a}.m, {b}.m)", peel(both, "m")))
+    only = "transform(array_except({x}.digests, {y}.digests), x -> named_struct('k', x, 'n', {n}))"
+    sets = f"concat({only.format(x=a, y=b, n='1')}, {only.format(x=b, y=a, n='-1')})"
+    return f"coalesce({', '.join(tries)}, {sets})"
 
 
-def as_text(digests: str) -> Column:
-    """The sketch of one group: the number of digests, then each cell's count, xor and half its check."""
-    cell = "concat(lower(lpad(hex(c.n), 4, '0')), lower(lpad(hex(c.k), 16, '0')), lower(substr(lpad(hex(c.h), 16, '0'), 1, 8)))"
-    return F.expr(f"concat(lower(hex(size({digests}))), ':', array_join(transform(element_at({sketch(digests)}, 1), c -> {cell}), ''))")
+def fingerprint(digests: str) -> Column:
+    """A struct (digests, m, cells) of a column of digests: the set and its sketch."""
+    return F.expr(_let("m", cells_a_row(f"size({digests})"), f"named_struct('digests', {digests}, 'm', m, 'cells', {sketch(digests, 'm')})"))
+
+
+def as_text(f: str) -> Column:
+    """``digests:cells a row:`` and ``row-place.count.digests.checks`` of each cell, numbers in hexadecimal."""
+    cell = "concat(shiftright(c.c, 40), '-', hex(c.c & 1099511627775L), '.', hex(c.n), '.', hex(c.k), '.', hex(c.h & 4294967295L))"
+    return F.expr(f"lower(concat(hex(size({f}.digests)), ':', hex({f}.m), ':', array_join(transform({f}.cells, c -> {cell}), ';')))")
 
 
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(bucket, place, id, text, next): the text of the next row in descending order, the first's after the last.
+    """(id, text, next): the text of the next row in descending order, the first's after the last.
 
-    Rows go to ordered buckets; the bounds are the greatest ids of a range partitioning of
-    the ids alone. The first row of each bucket goes to the preceding one too, as the end
-    that the last row looks at, so texts are exchanged once and no bucket sees another.
-    Null ids order last; rows of one id order by a hash of their text.
+    Rows order by id, nulls last, then by a hash of the text, so that null or repeated ids
+    don't make one group. They go to buckets of that order, whose bounds are the keys of a
+    few rows picked by hash, and the last key. The row at the end of each bucket goes to the
+    next one too, for its last row to look at, so texts are exchanged once and no bucket sees
+    another. Which rows are bounds says how large buckets are, never what comes out.
     """
-    order = F.coalesce(F.col(id_col).cast("long"), F.lit(-(2**63)))
-    ids = docs.select(order.alias("o"))
-    n = ids.count()
-    parts = max(1, min(BUCKETS, -(-n // BUCKET_ROWS)))
-    bounds = sorted(r.m for r in ids.repartitionByRange(parts, "o").groupBy(F.spark_partition_id().alias("p")).agg(F.max("o").alias("m")).collect()) or [0]
-    top, steps = len(bounds), max(1, len(bounds).bit_length())
-    search = "aggregate(sequence(1, {k}), 0, (lo, i) -> if(lo + shiftleft(1, {k} - i) <= {n} and element_at(b, lo + shiftleft(1, {k} - i)) < o, lo + shiftleft(1, {k} - i), lo))"
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), order.alias("o")).withColumn("b", F.lit(bounds))
-    rows = rows.withColumn("bucket", F.expr(search.format(k=steps, n=top)))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = rows.select("id", "text", F.struct("id", F.xxhash64("text").alias("h")).alias("o"))
+    n, last = rows.agg(F.count("*"), F.to_json(F.max(F.struct("o")))).first()
+    rate = int(min(1 / BUCKET_ROWS, BUCKETS / max(1, n)) * (1 << 40))
+    picked = rows.where(F.pmod(F.xxhash64("o", F.lit(2)), F.lit(1 << 40)) < rate).select("o").distinct()
+    bounds = picked.agg(F.to_json(F.collect_list(F.struct("o")))).first()[0]
+    kind = f"array<struct<o: {rows.schema['o'].dataType.simpleString()}>>"
+    known = F.from_json(F.lit(bounds), kind)
+    known = F.array_sort(F.array_distinct(F.concat(known, F.array(F.from_json(F.lit(last), kind[6:-1])))))
+    steps = max(1, (min(n, 2 * BUCKETS) + 1).bit_length())
+    found = f"aggregate(sequence(1, {steps}), 0, (lo, i) -> if(lo + shiftleft(1, {steps} - i) < size(b) and element_at(b, lo + shiftleft(1, {steps} - i)).o < o, lo + shiftleft(1, {steps} - i), lo))"
+    rows = rows.withColumn("b", known).withColumn("bucket", F.expr(found))
     here = F.struct("bucket", F.lit(0).alias("end"))
-    ahead = F.struct(F.pmod(F.col("bucket") + 1, F.lit(top)).alias("bucket"), F.lit(1).alias("end"))
-    first = F.expr("o = element_at(b, least(bucket + 1, size(b)))")
-    rows = rows.withColumn("to", F.explode(F.when(first, F.array(here, ahead)).otherwise(F.array(here)))).select("id", "text", "o", F.coalesce("to.bucket", F.lit(0)).alias("bucket"), F.coalesce("to.end", F.lit(0)).alias("end"))
-    w = Window.partitionBy("bucket").orderBy("end", F.col("o").desc(), "id", F.xxhash64("text"))
-    return rows.select("bucket", F.row_number().over(w).alias("place"), "id", "text", "end", F.lead("text").over(w).alias("next")).where("end = 0").drop("end")
-
+    ahead = F.struct(F.pmod(F.col("bucket") + 1, F.size("b")).alias("bucket"), F.lit(1).alias("end"))
+    ends = F.expr("o <=> element_at(b, bucket + 1).o")
+    rows = rows.withColumn("to", F.explode(F.when(ends, F.array(here, ahead)).otherwise(F.array(here)))).select("id", "text", "o.h", "to.bucket", "to.end")
+    w = Window.partitionBy("bucket").orderBy("end", F.col("id").desc_nulls_last(), F.col("h").desc_nulls_last())
+    return rows.select("id", "text", "end", F.lead("text").over(w).alias("next")).where("end = 0").drop("end")
 
-def peeled(sets: DataFrame) -> DataFrame:
-    """(bucket, place, pair, found, stuck) of rows (bucket, place, pairs), those alike left out.
 
-    ``pairs`` is an array of (pair, size, a, b): two sets of digests and the cells of each
-    hash. ``found`` counts the digests recovered, ``stuck`` the cells that would not peel.
+def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next, removed, added).
+
+    ``near_*`` is 1 less the differing digests' share of both sets, found by subtracting and
+    peeling the fingerprints; two empty sets are alike. ``removed`` and ``added`` are the
+    digests recovered from the text's and its edited text's fingerprints. Ids are of any type
+    that orders; null ones come last; repeated rows are rows of their own (equal ones meet in
+    one bucket). Null texts count as empty; whole texts count, however long. Other columns,
+    whatever their names, are not read. An empty table gives no rows. Digests stand for
+    paragraphs by 64-bit hash.
     """
-    own = ["bucket", "place", "pair", "size"]
-    pairs = sets.select("bucket", "place", F.explode("pairs").alias("p")).select("bucket", "place", "p.*")
-    signed = F.concat(F.transform("a", lambda x: F.struct(F.lit(1).alias("n"), x.alias("k"))), F.transform("b", lambda x: F.struct(F.lit(-1).alias("n"), x.alias("k"))))
-    items = pairs.select(*own, F.explode(signed).alias("s")).select(*own, "s.n", "s.k")
-
-    def places(k: str) -> list[Column]:
-        return [(F.lit(r) * F.col("size") + F.pmod(F.xxhash64(F.col(k), F.lit(r + 2)), F.col("size"))).cast("long") for r in range(3)]
-
-    check = F.xxhash64("k", F.lit(1))
-    cells = items.select(*own, "n", "k", check.alias("h"), F.explode(F.array(*places("k"))).alias("cell"))
-
-    def merged(rows: DataFrame) -> DataFrame:
-        some = (F.col("n") != 0) | (F.col("k") != 0) | (F.col("h") != 0)
-        return rows.groupBy(*own, "cell").agg(F.sum("n").alias("n"), F.bit_xor("k").alias("k"), F.bit_xor("h").alias("h")).where(some)
-
-    cells = merged(cells)
-    for _ in range(SWEEPS):
-        pure = (F.col("cell") >= 0) & (F.abs("n") == 1) & (F.col("h") == check)
-        w = Window.partitionBy("bucket", "place", "pair", "bare").orderBy("cell")
-        rows = cells.withColumn("bare", F.when(pure, F.col("k"))).withColumn("turn", F.row_number().over(w))
-        keep = F.struct("cell", F.col("n").alias("n"), "k", "h")
-        out = [F.struct(c.alias("cell"), (-F.col("n")).alias("n"), "k", "h") for c in places("k")]
-        mark = F.struct(F.lit(-1).cast("long").alias("cell"), F.lit(1).cast("long").alias("n"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("h"))
-        takes = F.when(F.col("bare").isNotNull() & (F.col("turn") == 1), F.array(keep, *out, mark)).otherwise(F.array(keep))
-        cells = merged(rows.select(*own, F.explode(takes).alias("c")).select(*own, "c.*"))
-    return cells.groupBy("bucket", "place", "pair").agg(F.sum(F.when(F.col("cell") < 0, F.col("n")).otherwise(0)).alias("found"), F.count_if(F.col("cell") >= 0).alias("stuck"))
+    rows = with_next(docs, id_col, text_col).select("id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("next", F.lit("")).alias("next"))
+    rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.expr("concat(left(text, int(n_chars - n_chars div 2)), left(next, int(n_chars div 2)))"))
+    names = ("text", "edited", "next")
 
+    def once(df: DataFrame, keep: list[str], **made: Column) -> DataFrame:
+        """Columns made once for each row, not anew for each use: an explode of one struct."""
+        return df.select(*keep, F.explode(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))).alias("made")).select(*keep, "made.*")
 
-def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_chars, edited_sha256, digests, edited_digests, fingerprint, edited_fingerprint, near_edited, near_next).
+    rows = once(rows.withColumn("sha", F.sha2("edited", 256)), ["id", "n_chars", "sha"], **{f"d_{c}": paragraph_digests(F.col(c)) for c in names})
+    rows = once(rows, ["id", "n_chars", "sha"], **{f"f_{c}": fingerprint(f"d_{c}") for c in names})
+    rows = once(rows, ["id", "n_chars", "sha", *[f"f_{c}" for c in names]], by_edited=F.expr(difference("f_text", "f_edited")), by_next=F.expr(difference("f_text", "f_next")))
 
-    Null texts count as empty; repeated rows are rows of their own; an empty table gives
-    none. Digests stand for paragraphs by 64-bit hash.
-    """
-    rows = with_next(docs, id_col, text_col).select("bucket", "place", "id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("next", F.lit("")).alias("next"))
-    rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.expr("concat(left(text, int(n_chars - n_chars div 2)), left(next, int(n_chars div 2)))"))
-    # Row-wise explodes, so that digests and estimates are made once and not for each use.
-    sets = F.struct(paragraph_digests(F.col("text")).alias("digests"), paragraph_digests(F.col("edited")).alias("edited_digests"), paragraph_digests(F.col("next")).alias("next_digests"))
-    rows = rows.withColumn("once", F.explode(F.array(sets))).select("bucket", "place", "id", "n_chars", "edited", "once.*")
-    guesses = F.struct(guess("digests", "edited_digests").alias("by_edited"), guess("digests", "next_digests").alias("by_next"))
-    known = rows.withColumn("once", F.explode(F.array(guesses)))
-    size = lambda g: F.pow(F.lit(2.0), F.ceil(F.log2(F.col(f"once.{g}") + 8.0))).cast("long")
-    pairs = [F.struct(F.lit(k).alias("pair"), size(g).alias("size"), F.col("digests").alias("a"), F.col(b).alias("b")) for k, (g, b) in enumerate((("by_edited", "edited_digests"), ("by_next", "next_digests")))]
-    found = peeled(known.select("bucket", "place", F.array(*pairs).alias("pairs")))
-    found = found.groupBy("bucket", "place").agg(*[F.max(F.when(F.col("pair") == k, F.when(F.col("stuck") == 0, F.col("found")).otherwise(-1))).alias(f"found{k}") for k in (0, 1)])
-    slim = rows.select("bucket", "place", "id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "digests", "edited_digests", "next_digests", as_text("digests").alias("fingerprint"), as_text("edited_digests").alias("edited_fingerprint"))
-    both = slim.join(found, ["bucket", "place"], "left").withColumn("again", F.size("digests") + F.size("edited_digests") + F.size("next_digests"))
-
-    def near(found: str, a: str, b: str) -> Column:
-        n = F.size(a) + F.size(b)
-        easy = F.when(n == 0, 1.0).otherwise(1.0 - F.coalesce(found, F.lit(0)) / n)
-        return F.when(F.coalesce(found, F.lit(0)) >= 0, easy).otherwise(likeness(a, b, "again")).cast("double")
-
-    return both.select("id", "n_chars", "edited_sha256", "digests", "edited_digests", "fingerprint", "edited_fingerprint", near("found0", "digests", "edited_digests").alias("near_edited"), near("found1", "digests", "next_digests").alias("near_next"))
+    def near(found: str, other: str) -> Column:
+        n = F.size("f_text.digests") + F.size(f"{other}.digests")
+        return F.when(n == 0, 1.0).otherwise(1.0 - F.size(found) / n).cast("double")
+
+    side = lambda n: F.expr(f"transform(filter(by_edited, x -> x.n = {n}), x -> x.k)")
+    return rows.select("id", "n_chars", F.col("sha").alias("edited_sha256"), as_text("f_text").alias("fingerprint"), as_text("f_edited").alias("edited_fingerprint"), near("by_edited", "f_edited").alias("near_edited"), near("by_next", "f_next").alias("near_next"), side(1).alias("removed"), side(-1).alias("added"))
 
 
 def op2_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = edited_fingerprints(table(spark, sf_dir, "documents"))
-    return out.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    return out.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", F.size("removed").alias("n_removed"), F.size("added").alias("n_added"))
