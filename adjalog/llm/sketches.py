@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: A paragraph is a line; one of more characters than LONG is cut where sentences end.
-LONG, SENTENCE = 400, r"(?<=[.!?])\s+|(?<=[。！？])"
+LONG, SENTENCE = 2000, r"(?<=[.!?])\s+|(?<=[。！？])"
 #: What larger sketches of a failed pair have, as a multiple of the larger one's cells.
 LARGER = (2, 8)
 #: Rounds of peeling at most; a round that finds nothing ends it.
@@ -29,7 +29,7 @@ ROUNDS = 40
 BUCKET_ROWS, BUCKETS = 500, 1 << 16
 
 _CELLS = "array<struct<c: bigint, n: int, k: bigint, h: int>>"
-_FOUND = "array<struct<k: bigint, n: int>>"
+_NONE = "cast(array() as array<bigint>)"
 
 
 def paragraph_digests(text: Column) -> Column:
@@ -58,9 +58,10 @@ def _entries(items: str, sign: str, x: str, m: str) -> str:
 
 def merged(entries: str) -> str:
     """SQL: entries of one cell as one, those that cancel left out; in order of the cells."""
-    total = "aggregate(slice(s, p + 1, coalesce(get(starts, j + 1), size(s)) - p), named_struct('c', s[p].c, 'n', 0, 'k', 0L, 'h', 0), (a, x) -> named_struct('c', a.c, 'n', a.n + x.n, 'k', a.k ^ x.k, 'h', a.h ^ x.h))"
+    end = "coalesce(get(starts, j + 1), size(s))"
+    total = f"if({end} = p + 1, s[p], aggregate(slice(s, p + 2, {end} - p - 1), s[p], (a, x) -> named_struct('c', a.c, 'n', a.n + x.n, 'k', a.k ^ x.k, 'h', a.h ^ x.h)))"
     some = _let("starts", "filter(sequence(0, size(s) - 1), i -> i = 0 or s[i].c <> s[i - 1].c)", f"filter(transform(starts, (p, j) -> {total}), z -> z.n <> 0 or z.k <> 0 or z.h <> 0)")
-    return _let("s", f"array_sort({entries})", f"if(size(s) = 0, cast(array() as {_CELLS}), {some})")
+    return _let("s", f"sort_array({entries})", f"if(size(s) = 0, cast(array() as {_CELLS}), {some})")
 
 
 def sketch(digests: str, m: str, sign: str = "1") -> str:
@@ -75,16 +76,18 @@ def subtract(a: str, b: str, m: str) -> str:
 
 
 def peel(cells: str, m: str) -> str:
-    """SQL: the differing digests with their signs, or null if some cell would not peel."""
-    pure = "array_distinct(transform(filter(t.cells, c -> abs(c.n) = 1 and c.h = hash(c.k)), c -> named_struct('k', c.k, 'n', c.n)))"
-    after = merged(f"concat(t.cells, {_entries('pure', '-y.n', 'y.k', m)})")
-    step = _let("pure", pure, f"if(size(pure) = 0, named_struct('cells', t.cells, 'found', t.found, 'live', false), named_struct('cells', {after}, 'found', concat(t.found, pure), 'live', true))")
-    start = f"named_struct('cells', {cells}, 'found', cast(array() as {_FOUND}), 'live', true)"
-    return f"aggregate(sequence(1, {ROUNDS}), {start}, (t, r) -> if(not t.live or size(t.cells) = 0, t, {step}), t -> if(size(t.cells) = 0, t.found, null))"
+    """SQL: a struct (removed, added) of the digests with counts 1 and -1, or null if some cell would not peel."""
+    pure = "array_distinct(transform(filter(t.cells, c -> c.n = {n} and c.h = hash(c.k)), c -> c.k))"
+    after = merged(f"concat(t.cells, {_entries('p', '-1', 'y', m)}, {_entries('q', '1', 'y', m)})")
+    stuck = "named_struct('cells', t.cells, 'removed', t.removed, 'added', t.added, 'live', false)"
+    moved = f"named_struct('cells', {after}, 'removed', concat(t.removed, p), 'added', concat(t.added, q), 'live', true)"
+    step = _let("p", pure.format(n=1), _let("q", pure.format(n=-1), f"if(size(p) + size(q) = 0, {stuck}, {moved})"))
+    start = f"named_struct('cells', {cells}, 'removed', {_NONE}, 'added', {_NONE}, 'live', true)"
+    return f"aggregate(sequence(1, {ROUNDS}), {start}, (t, r) -> if(not t.live or size(t.cells) = 0, t, {step}), t -> if(size(t.cells) = 0, named_struct('removed', t.removed, 'added', t.added), null))"
 
 
 def difference(a: str, b: str) -> str:
-    """SQL: the digests in one of two fingerprints only, as (k, n), n = 1 for a's and -1 for b's.
+    """SQL: a struct (removed, added): the digests of fingerprint a only, and of b only.
 
     ``a`` and ``b`` are structs (digests, m, cells). The sketches themselves come first; the
     digests make the larger ones of a failed pair.
@@ -93,8 +96,7 @@ def difference(a: str, b: str) -> str:
     for k in LARGER:
         both = merged(f"concat({_entries(f'{a}.digests', '1', 'y', 'm')}, {_entries(f'{b}.digests', '-1', 'y', 'm')})")
         tries.append(_let("m", f"{k} * greatest({a}.m, {b}.m)", peel(both, "m")))
-    only = "transform(array_except({x}.digests, {y}.digests), x -> named_struct('k', x, 'n', {n}))"
-    sets = f"concat({only.format(x=a, y=b, n='1')}, {only.format(x=b, y=a, n='-1')})"
+    sets = f"named_struct('removed', array_except({a}.digests, {b}.digests), 'added', array_except({b}.digests, {a}.digests))"
     return f"coalesce({', '.join(tries)}, {sets})"
 
 
@@ -109,8 +111,15 @@ def as_text(f: str) -> Column:
     return F.expr(f"lower(concat(hex(size({f}.digests)), ':', hex({f}.m), ':', array_join(transform({f}.cells, c -> {cell}), ';')))")
 
 
+def _array(values: list, kind: str) -> Column:
+    """An array literal of that element type; numbers in one piece, which is folded to a constant."""
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.split(F.lit(",".join("" if x is None else str(x) for x in values)), ",").try_cast(f"array<{kind}>")
+    return F.array(*[F.lit(x).cast(kind) for x in values]).cast(f"array<{kind}>")
+
+
 def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, text, next): the text of the next row in descending order, the first's after the last.
+    """(id, text, digests, next, next_digests): the next row in descending order, the first after the last.
 
     Rows order by id, nulls last, then by a hash of the text, so that null or repeated ids
     don't make one group. They go to buckets of that order, whose bounds are the keys of a
@@ -120,22 +129,23 @@ def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.select("id", "text", F.struct("id", F.xxhash64("text").alias("h")).alias("o"))
-    n, last = rows.agg(F.count("*"), F.to_json(F.max(F.struct("o")))).first()
+    n, last = rows.agg(F.count("*"), F.max("o")).first()
     rate = int(min(1 / BUCKET_ROWS, BUCKETS / max(1, n)) * (1 << 40))
-    picked = rows.where(F.pmod(F.xxhash64("o", F.lit(2)), F.lit(1 << 40)) < rate).select("o").distinct()
-    bounds = picked.agg(F.to_json(F.collect_list(F.struct("o")))).first()[0]
-    kind = f"array<struct<o: {rows.schema['o'].dataType.simpleString()}>>"
-    known = F.from_json(F.lit(bounds), kind)
-    known = F.array_sort(F.array_distinct(F.concat(known, F.array(F.from_json(F.lit(last), kind[6:-1])))))
-    steps = max(1, (min(n, 2 * BUCKETS) + 1).bit_length())
-    found = f"aggregate(sequence(1, {steps}), 0, (lo, i) -> if(lo + shiftleft(1, {steps} - i) < size(b) and element_at(b, lo + shiftleft(1, {steps} - i)).o < o, lo + shiftleft(1, {steps} - i), lo))"
-    rows = rows.withColumn("b", known).withColumn("bucket", F.expr(found))
+    picked = {tuple(r.o) for r in rows.where(F.pmod(F.xxhash64("o", F.lit(2)), F.lit(1 << 40)) < rate).select("o").distinct().collect()}
+    bounds = sorted(picked | ({tuple(last)} if last else set()), key=lambda x: (x[0] is not None, x[0], x[1]) if x[0] is not None else (False, x[1]))
+    kind, size = rows.schema["id"].dataType.simpleString(), max(1, len(bounds))
+    nulls = sum(x is None for x, _ in bounds)
+    rows = rows.withColumn("b", _array([x for x, _ in bounds], kind)).withColumn("bh", _array([h for _, h in bounds], "bigint"))
+    at, steps = "lo + shiftleft(1, {k} - i)", max(1, size.bit_length())
+    at = at.format(k=steps)
+    below = f"if({at} <= {nulls}, id is not null or element_at(bh, {at}) < o.h, id is not null and (element_at(b, {at}) < id or (element_at(b, {at}) = id and element_at(bh, {at}) < o.h)))"
+    rows = rows.withColumn("bucket", F.expr(f"aggregate(sequence(1, {steps}), 0, (lo, i) -> if({at} < {size} and {below}, {at}, lo))"))
     here = F.struct("bucket", F.lit(0).alias("end"))
-    ahead = F.struct(F.pmod(F.col("bucket") + 1, F.size("b")).alias("bucket"), F.lit(1).alias("end"))
-    ends = F.expr("o <=> element_at(b, bucket + 1).o")
-    rows = rows.withColumn("to", F.explode(F.when(ends, F.array(here, ahead)).otherwise(F.array(here)))).select("id", "text", "o.h", "to.bucket", "to.end")
+    ahead = F.struct(F.pmod(F.col("bucket") + 1, F.lit(size)).alias("bucket"), F.lit(1).alias("end"))
+    ends = F.expr("id <=> get(b, bucket) and o.h = get(bh, bucket)")
+    rows = rows.withColumn("to", F.explode(F.when(ends, F.array(here, ahead)).otherwise(F.array(here)))).select("id", "text", paragraph_digests(F.col("text")).alias("digests"), "o.h", "to.bucket", "to.end")
     w = Window.partitionBy("bucket").orderBy("end", F.col("id").desc_nulls_last(), F.col("h").desc_nulls_last())
-    return rows.select("id", "text", "end", F.lead("text").over(w).alias("next")).where("end = 0").drop("end")
+    return rows.select("id", "text", "digests", "end", F.lead("text").over(w).alias("next"), F.lead("digests").over(w).alias("next_digests")).where("end = 0").drop("end")
 
 
 def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -149,7 +159,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     whatever their names, are not read. An empty table gives no rows. Digests stand for
     paragraphs by 64-bit hash.
     """
-    rows = with_next(docs, id_col, text_col).select("id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("next", F.lit("")).alias("next"))
+    rows = with_next(docs, id_col, text_col).select("id", F.coalesce("text", F.lit("")).alias("text"), F.coalesce("next", F.lit("")).alias("next"), F.col("digests").alias("d_text"), F.col("next_digests").alias("d_next"))
     rows = rows.withColumn("n_chars", F.length("text").cast("long")).withColumn("edited", F.expr("concat(left(text, int(n_chars - n_chars div 2)), left(next, int(n_chars div 2)))"))
     names = ("text", "edited", "next")
 
@@ -157,16 +167,15 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         """Columns made once for each row, not anew for each use: an explode of one struct."""
         return df.select(*keep, F.explode(F.array(F.struct(*[c.alias(k) for k, c in made.items()]))).alias("made")).select(*keep, "made.*")
 
-    rows = once(rows.withColumn("sha", F.sha2("edited", 256)), ["id", "n_chars", "sha"], **{f"d_{c}": paragraph_digests(F.col(c)) for c in names})
+    rows = once(rows.withColumn("sha", F.sha2("edited", 256)), ["id", "n_chars", "sha", "d_text", "d_next"], d_edited=paragraph_digests(F.col("edited")))
     rows = once(rows, ["id", "n_chars", "sha"], **{f"f_{c}": fingerprint(f"d_{c}") for c in names})
     rows = once(rows, ["id", "n_chars", "sha", *[f"f_{c}" for c in names]], by_edited=F.expr(difference("f_text", "f_edited")), by_next=F.expr(difference("f_text", "f_next")))
 
     def near(found: str, other: str) -> Column:
         n = F.size("f_text.digests") + F.size(f"{other}.digests")
-        return F.when(n == 0, 1.0).otherwise(1.0 - F.size(found) / n).cast("double")
+        return F.when(n == 0, 1.0).otherwise(1.0 - (F.size(f"{found}.removed") + F.size(f"{found}.added")) / n).cast("double")
 
-    side = lambda n: F.expr(f"transform(filter(by_edited, x -> x.n = {n}), x -> x.k)")
-    return rows.select("id", "n_chars", F.col("sha").alias("edited_sha256"), as_text("f_text").alias("fingerprint"), as_text("f_edited").alias("edited_fingerprint"), near("by_edited", "f_edited").alias("near_edited"), near("by_next", "f_next").alias("near_next"), side(1).alias("removed"), side(-1).alias("added"))
+    return rows.select("id", "n_chars", F.col("sha").alias("edited_sha256"), as_text("f_text").alias("fingerprint"), as_text("f_edited").alias("edited_fingerprint"), near("by_edited", "f_edited").alias("near_edited"), near("by_next", "f_next").alias("near_next"), "by_edited.removed", "by_edited.added")
 
 
 def op2_iblt(spark: SparkSession, sf_dir: str) -> DataFrame:
