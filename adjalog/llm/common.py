@@ -25,6 +25,10 @@ def fold(id_col: str, folds: int) -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % folds, F.lit(-1))
 
 
+#: The folders of all scratch tables of this driver, oldest first.
+_BASES_MADE: list[str] = []
+
+
 class Scratch:
     """Parquet tables below ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -40,15 +44,32 @@ class Scratch:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             root = tempfile.mkdtemp(prefix="scratch-")
         self.base = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+        _BASES_MADE.append(self.base)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         df.write.mode("overwrite").parquet(f"{self.base}/{name}")
         return self.spark.read.schema(df.schema).parquet(f"{self.base}/{name}")
 
-    def drop(self, name: str) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{name}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        for name in names:
+            _delete(self.spark, f"{self.base}/{name}")
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def tidied(spark: SparkSession):
+    """Removes at the end all scratch tables begun inside: what needs them must be written by then."""
+    before = len(_BASES_MADE)
+    try:
+        yield
+    finally:
+        for base in _BASES_MADE[before:]:
+            _delete(spark, base)
+        del _BASES_MADE[before:]
 
 
 @contextlib.contextmanager

@@ -40,6 +40,28 @@ def fit_nnpu(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int = 600, r
     return w
 
 
+def estimate_prior(pos: np.ndarray, unl: np.ndarray, seed: int = 5, delta: float = 0.1, slack: float = 0.01) -> float:
+    """The share of positives among unlabelled rows, from these two samples alone.
+
+    A logistic score that tells half of the positives from half of the unlabelled rows ranks
+    the other halves. The share of unlabelled rows above a threshold over that of positives
+    there is never below the prior, but for chance, and comes nearest where only positives
+    are left; the threshold taken has the least upper bound on that ratio.
+    """
+    rng = np.random.default_rng(seed)
+    p, u = (x[rng.permutation(len(x))] for x in (pos, unl))
+    (p0, p1), (u0, u1) = ((x[: len(x) // 2], x[len(x) // 2 :]) for x in (p, u))
+    if not len(p0) or not len(u0):
+        return 0.5
+    w = fit_nnpu(p0, u0, 0.5)
+    sp, su = (np.sort(x @ w[:-1]) for x in (p1, u1))
+    cuts = np.unique(np.quantile(sp, np.linspace(0, 0.99, 200)))
+    qp, qu = (1 - np.searchsorted(s, cuts) / len(s) for s in (sp, su))
+    doubt = sum(np.sqrt(np.log(4 / delta) / (2 * len(s))) for s in (sp, su))
+    best = int(np.argmin(qu / qp + (1 + slack) * doubt / qp))
+    return float(np.clip(qu[best] / qp[best], 0.05, 0.95))
+
+
 def linear_score(names: list[str], mean: np.ndarray, scale: np.ndarray, w: np.ndarray, bound: float = 6.0) -> Column:
     """The logistic score over standardised, bounded columns as one expression."""
     z = F.lit(float(w[-1]))
@@ -53,27 +75,28 @@ def pu_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
     """Every row's ``id`` and ``score``, the chance of label 1.
 
     ``learn`` (over id_col) says whose labels may be used; null counts as no. Positives are
-    labelled 1 there; unlabelled rows come from the same rows, whatever their label. The
-    prior is the share of 1 among the labels used, kept within 0.05 and 0.95. Without any
-    positive or unlabelled row the score is the prior, 0.5 without labels. A null text
-    scores like an empty one; ids may be null or repeat.
+    labelled 1 there; unlabelled rows come from the same rows, whatever their label. Labels
+    of 0 are never looked at: the prior is estimated from the positives and the unlabelled
+    rows. Without any of either the score is 0.5. A null text scores like an empty one; long
+    texts are read whole. Ids may be null (never labelled) or repeat: each row is scored for
+    itself, so repeated rows and ties score alike; of an id's several labels the least
+    counts. An empty table gives no rows; other columns, whatever their names, are not read.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     stats = scratch.keep(with_ratios(text_counts(docs, id_col, text_col)).select("id", *RATIOS), "stats")
     usable = stats if learn is None else stats.withColumnRenamed("id", id_col).where(learn).withColumnRenamed(id_col, "id")
     known = usable.join(one_label(labels, id_col, label_col), "id")
-    seen = known.agg(F.avg("label"), F.count("*")).first()
-    prior = float(np.clip(seen[0], 0.05, 0.95)) if seen[1] else 0.5
     rows = lambda df, most, seed: np.array([list(r) for r in bounded(df, most, seed).select(*RATIOS).collect()], float).reshape(-1, len(RATIOS))
     pos, unl = rows(known.where("label = 1"), POSITIVES, 3), rows(usable, UNLABELLED, 4)
     if not len(pos) or not len(unl):
-        return stats.select("id", F.lit(prior).alias("score"))
+        return stats.select("id", F.lit(0.5).alias("score"))
     mean, scale = unl.mean(axis=0), np.maximum(unl.std(axis=0), 1e-6)
     cut = lambda x: np.clip((x - mean) / scale, -6, 6)
-    order = np.lexsort(pos.T), np.lexsort(unl.T)
-    w = fit_nnpu(cut(pos[order[0]]), cut(unl[order[1]]), prior)
+    pos, unl = (cut(x[np.lexsort(x.T)]) for x in (pos, unl))
+    prior = estimate_prior(pos, unl)
+    w = fit_nnpu(pos, unl, prior)
     # Scores of 0.5 and more go to as large a share of unlabelled rows as the prior says.
-    w[-1] -= np.quantile(cut(unl) @ w[:-1] + w[-1], 1 - prior)
+    w[-1] -= np.quantile(unl @ w[:-1] + w[-1], 1 - prior)
     return stats.select("id", linear_score(RATIOS, mean, scale, w).alias("score"))
 
 

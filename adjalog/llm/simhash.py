@@ -361,7 +361,9 @@ def similar_components(texts: DataFrame, classes: DataFrame, shingle: int, simil
     size_ok = F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - _TINY
     many = _met(cuts, ["size", "root"]).where(size_ok).select("u", "v").distinct()
     third = _similar(few.union(many).distinct(), classes, texts, shingle, similarity, scratch, "third")
-    return components(first.union(second).union(third), scratch, "all")
+    out = components(first.union(second).union(third), scratch, "all")
+    scratch.drop("shared", "one-mixed", "two-mixed", "crowd", "one-roots", "two-roots", "first-edges", "second-edges", "third-edges")
+    return out
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: float = 0.8, order_col: str | None = None) -> DataFrame:

@@ -28,7 +28,8 @@ BLOCK_CHARS = 8 << 20
 DEPTH, CELLS_PER_WINDOW = 2, 8
 #: log2 of the cells that one merging group holds (one byte each).
 RANGE_BITS = 24
-LAST_ID = 2**63 - 1
+#: Rows without id come after all ids below this, in the order of a hash of their text.
+FIRST_UNNAMED = 2**63 - 2**40
 
 
 def _encode(cells: np.ndarray) -> bytes:
@@ -74,10 +75,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """All input columns, ``n_words``, ``n_removed``, ``kept_sha256`` and ``kept_text``, for every row.
 
     A word goes if a window over it also starts earlier: in a document of a smaller id, or
-    earlier in the same document. Null ids order last; rows that share an id do not count as
-    earlier than each other, so repeated rows fare alike. A null or blank text has no words.
+    earlier in the same document. Ids are integers (others are an error). Rows without id
+    order last, by a hash of their text, so they are no single group. Rows that share an id
+    do not count as earlier than each other, so repeated rows fare alike. A null or blank
+    text has no words; an empty table gives no rows.
     ``kept_text`` is the text itself where nothing goes, else the kept words joined by a
-    space. Input columns named like a result are replaced. No size is capped; one document
+    space. Input columns named like a result are replaced; other names don't matter. No size is capped; one document
     is held whole, and otherwise a task holds a block of BLOCK_CHARS. Windows compare by 128
     hash bits.
     """
@@ -89,20 +92,26 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shift = np.uint64(64 - bits)
     low = np.uint64((1 << RANGE_BITS) - 1)
 
-    order = F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID))
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError(f"{id_col} must be an integer column")
+    own = "__"
+    while any(c.lower().startswith(own) for c in docs.columns):
+        own += "_"
+    BLOCK, ORDER, TEXT = own + "block", own + "order", own + "text"
+    order = F.coalesce(F.col(id_col).cast("long"), F.lit(FIRST_UNNAMED) + F.xxhash64(text_col).bitwiseAND(F.lit(2**40 - 1)))
     block = F.pmod(F.xxhash64(order), F.lit(blocks))
     columns = [F.col(c) for c in docs.columns]
-    spread = docs.select(block.alias("__block"), order.alias("__order"), F.col(text_col).cast("string").cast("binary").alias("__text"), *[c for n, c in zip(docs.columns, columns) if n != text_col])
+    spread = docs.select(block.alias(BLOCK), order.alias(ORDER), F.col(text_col).cast("string").cast("binary").alias(TEXT), *[c for n, c in zip(docs.columns, columns) if n != text_col])
 
     def texts_of(t: pa.Table) -> list[bytes | None]:
-        return t.column("__text").to_pylist()
+        return t.column(TEXT).to_pylist()
 
     def sketch(t: pa.Table) -> pa.Table:
         out, cells = [], [[] for _ in range(DEPTH)]
         for _, _, h0, h1, ok in _block_windows(texts_of(t), window):
             for k, h in enumerate((h0, h1)):
                 cells[k].append(h[ok] >> shift)
-        block = t.column("__block")[0].as_py()
+        block = t.column(BLOCK)[0].as_py()
         for k, c in enumerate(cells):
             c, n = np.unique(np.concatenate(c), return_counts=True) if c else (np.empty(0, np.uint64), np.empty(0, int))
             c = np.repeat(c, np.minimum(n, 2))
@@ -131,7 +140,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return pa.table({"block": pa.array([x[0] for x in out], pa.int64()), "row": pa.array([row] * len(out), pa.int32()), "part": pa.array([part] * len(out), pa.int64()), "blob": pa.array([x[1] for x in out], pa.binary())})
 
     def candidates(t: pa.Table, notes: pa.Table) -> pa.Table:
-        orders, out = t.column("__order").to_numpy(), []
+        orders, out = t.column(ORDER).to_numpy(), []
         cells = [_repeated(notes, k) for k in range(DEPTH)]
         for i, w, h0, h1, ok in _block_windows(texts_of(t), window):
             at = _candidates(h0, h1, ok, cells, shift)
@@ -153,7 +162,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         d, a = held.column("d").to_numpy(), held.column("a").to_numpy().view(np.uint64)
         sort = np.lexsort((a, d))
         d, a = d[sort], a[sort]
-        orders, texts, out = t.column("__order").to_numpy(), texts_of(t), []
+        orders, texts, out = t.column(ORDER).to_numpy(), texts_of(t), []
         for i, w, h0, h1, ok in _block_windows(texts, window):
             at = _candidates(h0, h1, ok, cells, shift)
             hit = np.searchsorted(at, w.first)
@@ -184,15 +193,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         res["kept_text"] = pa.array([x[3] for x in out], pa.binary())
         return pa.table(res)
 
-    marked = spread.groupBy("__block").applyInArrow(lean_group(sketch), "row int, part long, block long, blob binary")
+    marked = spread.groupBy(BLOCK).applyInArrow(lean_group(sketch), "row int, part long, block long, blob binary")
     replies = marked.groupBy("row", "part").applyInArrow(lean_group(merge), "block long, row int, part long, blob binary")
-    found = spread.groupBy("__block").cogroup(replies.groupBy("block")).applyInArrow(lean_pair(_none_if_no_text(candidates, "d", "a", "b")), "d long, a long, b long")
+    found = spread.groupBy(BLOCK).cogroup(replies.groupBy("block")).applyInArrow(lean_pair(_none_if_no_text(candidates, "d", "a", "b")), "d long, a long, b long")
     first = found.groupBy("a", "b").agg(F.min("d").alias("d"))
     firsts = first.select(F.pmod(F.xxhash64("d"), F.lit(blocks)).alias("block"), F.lit(None).cast("int").alias("row"), F.lit(None).cast("long").alias("part"), F.lit(None).cast("binary").alias("blob"), "d", "a")
     notes = replies.select("block", "row", "part", "blob", F.lit(None).cast("long").alias("d"), F.lit(None).cast("long").alias("a")).unionByName(firsts)
     kinds = {c: docs.schema[c].dataType.simpleString() for c in names}
     schema = ", ".join([*(f"`{c}` {k}" for c, k in kinds.items()), "n_words long, n_removed long, kept_sha256 string, kept_text binary"])
-    out = spread.groupBy("__block").cogroup(notes.groupBy("block")).applyInArrow(lean_pair(finish), schema)
+    out = spread.groupBy(BLOCK).cogroup(notes.groupBy("block")).applyInArrow(lean_pair(finish), schema)
     return out.select(*names, *results[:3], F.col("kept_text").cast("string").alias("kept_text"))
 
 

@@ -1,13 +1,15 @@
 """Operator 7: toxicity by Levenshtein automata intersected with a lexicon trie.
 
 The lexicon is learned from labelled rows: words, and stems that many words share, that mark
-toxic texts. All automata of its words run along its trie as one automaton, whose states are
+toxic texts. Words with digits or marks inside are tried as they stand, too. All automata of its words run along its trie as one automaton, whose states are
 built when first met, so that a clean word is left after a few letters. Each hit counts by
 its kind and by its context: hits within quotation count apart from the others.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -23,22 +25,40 @@ from .textstats import bounded, one_label
 TOXIC, CLEAN, TERMS = 6_000, 14_000, 2_000
 #: Words to each side that decide whether a hit is quoted.
 CONTEXT = 6
-EXACT, STEM, FUZZY = 1, 2, 3
-KINDS = ["exact", "stem", "fuzzy", "quoted"]
+EXACT, STEM, FUZZY, LOOSE = 1, 2, 3, 4
+KINDS = ["exact", "stem", "fuzzy", "loose", "quoted"]
 FEATURES = [*KINDS, "density"]
 _QUOTES = "\"“”„«»"
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Marks and digits beyond ASCII that part words.
+_MARKS = {c: " " for c in [*range(128, 0x3040), *range(0xFE30, 0xFFF0)] if unicodedata.category(chr(c))[0] in "PSZNC"}
 _SPACES = bytes(c if c > 127 or chr(c).isalpha() else 32 for c in range(256))
 
 
 def words_of(text: str | None) -> list[str]:
-    return text.lower().encode().translate(_SPACES).decode().split() if text else []
+    """The lower-case runs of letters of a text."""
+    if not text:
+        return []
+    plain = text.lower().encode().translate(_SPACES).decode()
+    return (plain if text.isascii() else plain.translate(_MARKS)).split()
+
+
+def disguised(text: str | None) -> list[str]:
+    """Words with digits or marks between their letters, without those around them."""
+    out = []
+    for w in text.lower().split() if text else ():
+        if not w.isalpha() and len(w) <= 40:
+            runs = [m.span() for m in _LETTERS.finditer(w)]
+            if len(runs) > 1:
+                out.append(w[runs[0][0] : runs[-1][1]])
+    return out
 
 
 class Automaton:
     """Words within one edit of a term, or with a stem as prefix.
 
-    A state is a set of (trie node, edits) pairs. Terms under five letters and stems take
-    no edit.
+    A state is a set of (trie node, edits) pairs. Stems and terms under four letters take no
+    edit; one edit of a term of four is a kind of its own.
     """
 
     def __init__(self, terms: list[str], stems: list[str]):
@@ -47,7 +67,7 @@ class Automaton:
         for kind, group in ((EXACT, terms), (STEM, stems)):
             for t in group:
                 self.ends.setdefault(self._add(t), kind)
-        self.fuzzy = {self._add(t) for t in terms if len(t) >= 5}
+        self.edited = {self._add(t): FUZZY if len(t) > 4 else LOOSE for t in terms if len(t) >= 4}
         self.ids: dict[frozenset, int] = {}
         self.states: list[tuple[frozenset, dict[str, int], int]] = []
         self.start = self._state(self._closed({(0, 0)}))
@@ -69,7 +89,7 @@ class Automaton:
 
     def _state(self, pairs: frozenset) -> int:
         if pairs not in self.ids:
-            kinds = [self.ends.get(p) if e == 0 else FUZZY if p in self.fuzzy else None for p, e in pairs]
+            kinds = [self.ends.get(p) if e == 0 else self.edited.get(p) for p, e in pairs]
             self.ids[pairs] = len(self.states)
             self.states.append((pairs, {}, min(filter(None, kinds), default=0)))
         return self.ids[pairs]
@@ -105,15 +125,21 @@ class Automaton:
         return kind
 
 
-def quoted(text: str, word: str) -> int:
-    """Occurrences of a word in a text that stand within quotation marks a few words around."""
-    lower, n, at = text.lower(), 0, 0
-    while (at := lower.find(word, at)) >= 0:
-        before, after = lower[:at][-12 * CONTEXT :].split()[-CONTEXT:], lower[at + len(word) :][: 12 * CONTEXT].split()[:CONTEXT]
-        opened, closed = sum(x.count(q) for x in before for q in _QUOTES), sum(x.count(q) for x in after for q in _QUOTES)
-        n += bool(opened % 2 and closed)
-        at += len(word)
-    return n
+def quoted(text: str, words: set[str]) -> Counter:
+    """How often each of the words stands within quotation marks a few words around.
+
+    An odd number of marks in the words before, and one in those after, make a quotation.
+    """
+    lower, out = text.lower(), Counter()
+    spans = [m.span() for m in _LETTERS.finditer(lower)]
+    marks = [i for i, c in enumerate(lower) if c in _QUOTES]
+    ahead = np.searchsorted(marks, [a for a, _ in spans]) if spans else []
+    for k, (a, z) in enumerate(spans):
+        if lower[a:z] in words:
+            opened = ahead[k] - (ahead[k - CONTEXT] if k > CONTEXT else 0)
+            closed = (ahead[k + CONTEXT] if k + CONTEXT < len(spans) else len(marks)) - ahead[k]
+            out[lower[a:z]] += bool(opened % 2 and closed)
+    return out
 
 
 def learn_lexicon(known: DataFrame, scratch: Scratch, share: float = 0.006, odds: float = 20.0, stem_odds: float = 40.0) -> tuple[list[str], list[str]]:
@@ -146,7 +172,7 @@ def learn_lexicon(known: DataFrame, scratch: Scratch, share: float = 0.006, odds
     for r in sorted(good(cut, stem_odds), key=lambda r: (len(r.term), r.term)):
         if r.toxic >= 3 * least and not any(r.term.startswith(s) for s in stems):
             stems.append(r.term)
-    return [r.term for r in terms if not any(r.term.startswith(s) for s in stems)], stems
+    return [r.term for r in terms], stems
 
 
 def hits(docs: DataFrame, terms: list[str], stems: list[str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,14 +187,17 @@ def hits(docs: DataFrame, terms: list[str], stems: list[str], id_col: str = "doc
                 text = t.as_py()
                 words = words_of(text)
                 found = Counter((w, k) for w, k in zip(words, map(match, words)) if k)
-                n = [0, 0, 0, 0]
-                marks = bool(found) and any(q in text for q in _QUOTES)
+                hidden = Counter(w for w in disguised(text) if match(w) in (FUZZY, LOOSE))
+                n = [0] * len(KINDS)
+                marks = quoted(text, {w for w, _ in found}) if found and any(q in text for q in _QUOTES) else Counter()
                 for (w, k), c in found.items():
-                    q = min(c, quoted(text, w)) if marks else 0
+                    q = min(c, marks[w])
                     n[k - 1] += c - q
-                    n[3] += q
-                out.append((*n, len(words), sorted({w for w, _ in found})))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k] for x in out], pa.int64()) for k in range(5)), pa.array([x[5] for x in out], pa.list_(pa.string()))], names=["id", *KINDS, "n_words", "found"])
+                    n[-1] += q
+                n[FUZZY - 1] += hidden.total()
+                out.append((*n, len(words), sorted({w for w, _ in found} | set(hidden))))
+            cols = [pa.array([x[k] for x in out], pa.int64()) for k in range(len(KINDS) + 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *cols, pa.array([x[-1] for x in out], pa.list_(pa.string()))], names=["id", *KINDS, "n_words", "found"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, " + ", ".join(f"{k} long" for k in KINDS) + ", n_words long, found array<string>")
 
@@ -188,8 +217,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     ``learn`` (over id_col) says whose labels may be used. The lexicon and the weights are
     fitted on a bounded sample of labelled rows; with one label only, or none, the score is
-    that label's share, 0 without labels. Null and empty texts have no hits; ids may be
-    null or repeat; other columns are not read.
+    that label's share, 0 without labels. Null and empty texts have no hits. Ids may be null
+    (never labelled) or repeat: each row is scored for itself, so repeated rows score alike;
+    of an id's several labels the least counts. Texts are read whole in one pass over their
+    words, however long. Terms of equal odds order by frequency, then by spelling. An empty
+    table gives no rows. Other columns, whatever their names, are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "toxicity")
@@ -202,7 +234,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     known = scratch.keep(usable.join(drawn, "id"), "known")
     terms, stems = learn_lexicon(known, scratch)
     cols = [F.log1p(k).alias(k) for k in KINDS]
-    dense = (100.0 * (F.col("exact") + F.col("stem") + F.col("fuzzy")) / F.greatest("n_words", F.lit(1))).alias("density")
+    dense = (100.0 * (F.col("exact") + F.col("stem") + F.col("fuzzy") + F.col("loose")) / F.greatest("n_words", F.lit(1))).alias("density")
     rows = np.array([list(map(float, r)) for r in hits(known, terms, stems, "id").join(drawn, "id").select("label", *cols, dense).collect()]).reshape(-1, 1 + len(FEATURES))
     marked = hits(slim, terms, stems, "id").select("id", *[F.col(k).alias(f"{k}_hits") for k in KINDS], "found", *cols, dense)
     if len(rows) and 0 < rows[:, 0].sum() < len(rows):
