@@ -116,6 +116,8 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 CELLS, BLOCK = 1 << 22, 1 << 14
 #: Cells of the bit set that tells whose shingles a verification needs.
 WANTED = 1 << 23
+#: Bits of the parity that a join looks at.
+SHORT = 512
 _TINY = 1e-9
 
 
@@ -145,6 +147,12 @@ def parity(hashes: np.ndarray) -> bytes:
     return _packed(np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1)
 
 
+def short_parity(hashes: np.ndarray) -> list[int]:
+    """The parity on SHORT bits, as longs: a coarser bound, of one size for all sets."""
+    bits = np.bincount((hashes & np.uint64(SHORT - 1)).astype(np.int64), minlength=SHORT) & 1
+    return np.frombuffer(_packed(bits), np.int64).tolist()
+
+
 def least_difference(x: bytes, y: bytes) -> int:
     """Members that are in one set only: not more than really, from the sets' parities."""
     x, y = sorted((x, y), key=len)
@@ -276,28 +284,6 @@ def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: in
     return edges
 
 
-def segment_keys(hashes: np.ndarray, similarity: float) -> np.ndarray:
-    """Deletion-variant signatures of a set's segments: similar sets share one of them.
-
-    Sets of at most M members at that similarity differ in d = 2 M (1 - s) / (1 + s) members
-    at most. Cut by hash into d // 2 + 1 segments, one segment differs by one member at most,
-    so the two share a key among the segment's hash and those with one member left out. M
-    steps by 1 / s: a set has the keys of its own step and of the next one, and two similar
-    sets are at most one step apart.
-    """
-    n, h, out = len(hashes), mix(hashes + np.uint64(0x9E3779B97F4A7C15)), []
-    step = math.floor(math.log(n) / -math.log(similarity) + _TINY)
-    for c in (step, step + 1):
-        most = math.floor(similarity ** -(c + 1) + _TINY)
-        parts = math.floor(2 * most * (1 - similarity) / (1 + similarity) + _TINY) // 2 + 1
-        part = ((h >> np.uint64(20)) % np.uint64(parts)).astype(np.int64)
-        total = np.zeros(parts, np.uint64)
-        np.add.at(total, part, h)
-        tag = np.arange(parts, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(c)
-        out += [mix(total + tag), mix(total[part] - h + tag[part])]
-    return np.unique(np.concatenate(out))
-
-
 def _near_places(rows: DataFrame, order: list) -> DataFrame:
     """Each member of a bucket beside the first and the preceding one in that order, if of another root."""
     inside = Window.partitionBy("key").orderBy(*order)
@@ -311,10 +297,13 @@ def _able_pairs(pairs: DataFrame, similarity: float) -> DataFrame:
     return pairs.where(_able(similarity)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
-def _met(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """Pairs of rows (key, node, size, root, ...) that share a key but not a root."""
-    left, right = (rows.select("key", *[F.col(c).alias(f"{c[0] if c != 'size' else 'n'}{side}") for c in columns], F.col("node").alias(side)) for side in "uv")
-    return left.join(right, "key").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")))
+def _met(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of rows (key, node, size, place, root, fixed) that share a key but not a root and may be similar."""
+    left, right = (rows.select("key", *[F.col(c).alias(f"{short}{side}") for c, short in (("node", ""), ("size", "n"), ("place", "p"), ("root", "r"), ("fixed", "f"))]) for side in "uv")
+    apart = F.aggregate(F.zip_with("fu", "fv", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    both = F.col("nu") + F.col("nv")
+    near = apart <= both - 2 * F.ceil(similarity / (1 + similarity) * both - _TINY)
+    return left.join(right, "key").where((F.col("u") < F.col("v")) & (F.col("ru") != F.col("rv")) & _able(similarity) & near)
 
 
 def similar_components(texts: DataFrame, classes: DataFrame, shingle: int, similarity: float, scratch: Scratch) -> DataFrame:
@@ -324,9 +313,8 @@ def similar_components(texts: DataFrame, classes: DataFrame, shingle: int, simil
     buckets by prefix member miss no pair, whatever the size of the table. Two rounds compare
     each member of a bucket with the first and the preceding one only, by size and then in an
     order drawn for each bucket; they connect all but the stragglers of a group of copies.
-    What these links leave unconnected is compared exactly: all pairs of a bucket of up to
-    CROWDED members; members of a larger one meet by ``segment_keys`` instead, which miss no
-    pair either and are shared only by sets that agree on a whole segment.
+    Then the members of a bucket that are still unconnected are compared exactly, but for
+    pairs whose sizes, places in the prefixes or parities rule that similarity out.
     """
     common = _common(texts, shingle)
     index = _index(texts, shingle, similarity, common).repartition("key").dropDuplicates(["key", "node"])
@@ -344,25 +332,10 @@ def similar_components(texts: DataFrame, classes: DataFrame, shingle: int, simil
     mixed = unconnected(shared.where("members > 3"), first, "one")
     second = _similar(_able_pairs(_near_places(mixed, [F.xxhash64("node", "key"), "node"]), similarity), classes, texts, shingle, similarity, scratch, "second")
     mixed = unconnected(mixed.drop("root"), first.union(second), "two")
-    few = _able_pairs(_met(mixed.where(F.col("members") <= CROWDED), ["size", "place", "root"]), similarity)
-
-    crowd = scratch.keep(mixed.where(F.col("members") > CROWDED).select("node", "size", "root").distinct().join(classes.select("node", "seen"), "node"), "crowd")
-
-    def cut(batches):
-        for b in batches:
-            keys = [segment_keys(np.frombuffer(x.as_buffer(), np.uint64), similarity) for x in b.column("hashes")]
-            if keys:
-                at = np.repeat(np.arange(len(keys)), [len(k) for k in keys])
-                cols = [pa.array(np.concatenate(keys).view(np.int64)), *(b.column(c).take(pa.array(at)) for c in ("node", "size", "root"))]
-                yield pa.RecordBatch.from_arrays(cols, names=["key", "node", "size", "root"])
-
-    sets = _sets(texts, crowd.select("seen").distinct(), shingle)
-    cuts = crowd.join(sets, "node").select("node", "size", "root", "hashes").mapInArrow(lean_batches(cut), "key long, node long, size int, root long")
-    size_ok = F.least("nu", "nv") >= similarity * F.greatest("nu", "nv") - _TINY
-    many = _met(cuts, ["size", "root"]).where(size_ok).select("u", "v").distinct()
-    third = _similar(few.union(many).distinct(), classes, texts, shingle, similarity, scratch, "third")
+    rest = _able_pairs(_met(mixed.join(classes.select("node", "fixed"), "node"), similarity), similarity)
+    third = _similar(rest, classes, texts, shingle, similarity, scratch, "third")
     out = components(first.union(second).union(third), scratch, "all")
-    scratch.drop("shared", "one-mixed", "two-mixed", "crowd", "one-roots", "two-roots", "first-edges", "second-edges", "third-edges")
+    scratch.drop("shared", "one-mixed", "two-mixed", "one-roots", "two-roots", "first-edges", "second-edges", "third-edges")
     return out
 
 
@@ -385,13 +358,13 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         for b in batches:
             sets = list(shingle_sets(b.column("text").to_pylist(), shingle))
             nodes = [None if h is None else node_of(h) for h in sets]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rank"), b.column("seen"), pa.array(nodes, pa.int64()), pa.array([None if h is None else len(h) for h in sets], pa.int32()), pa.array([None if h is None else parity(h) for h in sets], pa.binary())], names=["id", "rank", "seen", "node", "size", "bits"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rank"), b.column("seen"), pa.array(nodes, pa.int64()), pa.array([None if h is None else len(h) for h in sets], pa.int32()), pa.array([None if h is None else parity(h) for h in sets], pa.binary()), pa.array([None if h is None else short_parity(h) for h in sets], pa.list_(pa.int64()))], names=["id", "rank", "seen", "node", "size", "bits", "fixed"])
 
     kinds = f"id {rows.schema['id'].dataType.simpleString()}, rank {rows.schema['rank'].dataType.simpleString()}"
-    marked = rows.withColumn("seen", F.xxhash64("text")).mapInArrow(lean_batches(run), f"{kinds}, seen long, node long, size int, bits binary")
+    marked = rows.withColumn("seen", F.xxhash64("text")).mapInArrow(lean_batches(run), f"{kinds}, seen long, node long, size int, bits binary, fixed array<bigint>")
     marked = scratch.keep(marked.withColumn("row", F.monotonically_increasing_id()), "marked")
     # all rows of a node have the same size and bits; one text of it is fetched later
-    classes = scratch.keep(marked.where("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.min("seen").alias("seen")), "classes")
+    classes = scratch.keep(marked.where("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("fixed").alias("fixed"), F.min("seen").alias("seen")), "classes")
     roots = similar_components(texts, classes, shingle, similarity, scratch)
     grouped = scratch.keep(marked.join(roots, "node", "left").select("id", "rank", "seen", "row", F.coalesce("root", "node").alias("root")), "grouped")
     best = F.min(F.struct(F.col("rank").isNull().alias("none"), "rank", "seen", "row"))
