@@ -30,6 +30,27 @@ def unzigzag(x: Column) -> Column:
     return F.shiftrightunsigned(x, 1).bitwiseXOR(-(x.bitwiseAND(F.lit(1))))
 
 
+def hex_text(x: Column) -> Column:
+    """§2.15: a number's digits as printed, upper case, without leading zeros."""
+    return F.hex(x)
+
+
+def varint_length(x: Column) -> Column:
+    """§2.15: bytes of a number of seven bits a byte: 1 for 0 to 127, up to 10."""
+    return sum((F.when(F.shiftrightunsigned(x, 7 * k) != 0, 1).otherwise(0) for k in range(1, 10)), F.lit(1))
+
+
+def uint64_or_zero(x: Column) -> Column:
+    """An operand of eight little-endian bytes as a number; any other length counts as 0."""
+    digits = F.concat(*[F.hex(F.substring(x, k, 1)) for k in range(8, 0, -1)])
+    return F.when(F.length(x) == 8, F.conv(digits, 16, 10).cast("decimal(20,0)")).otherwise(F.lit(0).cast("decimal(20,0)"))
+
+
+def timestamp_key(x: Column) -> Column:
+    """§2.15: a timestamp suffix: eight little-endian bytes."""
+    return node_key(x)
+
+
 def node_key(x: Column) -> Column:
     """§2.15: eight little-endian bytes."""
     digits = F.lpad(F.hex(x), 16, "0")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import ranked
+
 
 def type_statistics(trace: DataFrame) -> DataFrame:
     """Count, value size sum and sum of squares by type."""
@@ -36,8 +38,7 @@ def correlation(trace: DataFrame) -> DataFrame:
 
 def key_ids(trace: DataFrame) -> DataFrame:
     """Keys numbered in key order."""
-    keys = trace.groupBy("key").agg(F.count("*").alias("n"))
-    return keys.select("key", "n", (F.row_number().over(Window.orderBy("key")) - 1).alias("key_id"))
+    return ranked(trace.groupBy("key").agg(F.count("*").alias("n")), "key", "key_id")
 
 
 def top_keys(trace: DataFrame, k: int) -> DataFrame:
@@ -49,3 +50,40 @@ def reuse_intervals(trace: DataFrame) -> DataFrame:
     """Accesses between two of the same key, by logarithmic interval."""
     gap = F.col("event_id") - F.lag("event_id").over(Window.partitionBy("key").orderBy("event_id"))
     return trace.select(gap.alias("gap")).where("gap is not null").groupBy(F.floor(F.log2(F.col("gap").cast("double"))).cast("long").alias("bucket")).agg(F.count("*").alias("n"))
+
+
+def correlation_gap(trace: DataFrame) -> DataFrame:
+    """``correlation`` with the average time in seconds between the two accesses."""
+    w = Window.partitionBy("key").orderBy("event_id")
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    pairs = trace.select(F.lag("type").over(w).alias("first"), F.col("type").alias("second"), (at - F.lag(at).over(w)).alias("gap")).where("first is not null")
+    return pairs.groupBy("first", "second").agg(F.count("*").alias("n"), (F.sum("gap") / F.count("*") / 1e6).alias("gap_s"))
+
+
+def prefix_cut(trace: DataFrame, prefix: Column) -> DataFrame:
+    """(prefix, keys, accesses): how traffic spreads over key prefixes."""
+    per = trace.groupBy(prefix.alias("prefix"), "key").agg(F.count("*").alias("n"))
+    return per.groupBy("prefix").agg(F.count("*").alias("keys"), F.sum("n").alias("accesses"), F.max("n").alias("hottest"))
+
+
+def timeline(trace: DataFrame, seconds: int) -> DataFrame:
+    """Accesses and distinct keys by time interval."""
+    at = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / (seconds * 1000000))
+    return trace.groupBy(at.alias("t")).agg(F.count("*").alias("accesses"), F.countDistinct("key").alias("keys"))
+
+
+def lifetimes(trace: DataFrame) -> DataFrame:
+    """(key, accesses, lifetime): from a key's first access to its last, in accesses of the trace."""
+    return trace.groupBy("key").agg(F.count("*").alias("accesses"), (F.max("event_id") - F.min("event_id")).alias("lifetime"))
+
+
+def skewness(trace: DataFrame) -> DataFrame:
+    """(accesses, keys, share): keys by how often they are accessed, and their share of the accesses."""
+    per = trace.groupBy("key").agg(F.count("*").alias("accesses")).groupBy("accesses").agg(F.count("*").alias("keys"))
+    total = F.sum(F.col("accesses") * F.col("keys")).over(Window.partitionBy())  # one row for each number of accesses
+    return per.select("accesses", "keys", (F.col("accesses") * F.col("keys") / total).alias("share"))
+
+
+def prefix_rates(trace: DataFrame, prefix: Column, seconds: int) -> DataFrame:
+    """``rates`` by key prefix."""
+    return rates(trace.withColumn("type", prefix), seconds)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import running
+
 #: What an entry of a batch can be besides a write.
 SET, ROLLBACK, POP = "set", "rollback", "pop"
 
@@ -92,7 +94,7 @@ def clip(rows: DataFrame, lo, hi, key: str = "key") -> DataFrame:
 def fifo_drop(files: DataFrame, most: int, order: str = "created", size: str = "size") -> DataFrame:
     """The newest files whose sizes together do not pass ``most``; the oldest go first.
 
-    ``files`` is a table of files, one row each, not of their rows.
+    ``files`` is a table of files, one row each; ``order`` numbers them uniquely.
     """
-    total = F.sum(size).over(Window.orderBy(F.col(order).desc()).rowsBetween(Window.unboundedPreceding, 0))
-    return files.withColumn("__total", total).where(F.col("__total") <= most).drop("__total")
+    rows = running(files.withColumn("__new", -F.col(order)), "__new", size, "__before")
+    return rows.where(F.col("__before") + F.col(size) <= most).drop("__new", "__before")

@@ -91,13 +91,11 @@ def simulate(trace: DataFrame, shard: str, order: str, key: str, capacity: int,
 
 
 def bucket_limits(most: int = 1 << 63) -> list[int]:
-    """Upper limits of histogram buckets: 1, 2, then steps of 1.5 cut to two digits."""
-    out = [1, 2]
-    while out[-1] * 1.5 <= most:
-        v, power = int(out[-1] * 1.5), 1
-        while v // 10 > 10:
-            v, power = v // 10, power * 10
-        out.append(v * power)
+    """Upper limits of histogram buckets: 1, 2, then steps of 1.5, each cut to two digits; the steps are not."""
+    out, at = [1, 2], 2.0
+    while (at := at * 1.5) <= most:
+        power = 10 ** max(0, len(str(int(at))) - 2)
+        out.append(int(at) // power * power)
     return out
 
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.codecs import node_key
@@ -104,6 +106,74 @@ def successor(lists: DataFrame, x: int) -> DataFrame:
     return lists.select("id", F.array_min(F.filter("neighbours", lambda v: v >= x)).alias("successor"))
 
 
+def move(lists: DataFrame, i: int) -> DataFrame:
+    """The neighbour at place i of each list, from 0; null beyond its end."""
+    return lists.select("id", F.get("neighbours", F.lit(i)).alias("moved"))
+
+
+def union_lists(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(id, neighbours): the sorted union of two sets of lists."""
+    both = a.join(b.withColumnRenamed("neighbours", "more"), "id", "full_outer")
+    none = F.array().cast(dict(a.dtypes)["neighbours"])
+    return both.select("id", F.array_sort(F.array_union(F.coalesce("neighbours", none), F.coalesce("more", none))).alias("neighbours"))
+
+
+def add_vertices(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """Adding a vertex resets it, so the edges that go out from it are gone."""
+    out = edges.join(ids.select(F.col("id").alias("src")).distinct(), "src", "left_anti")
+    return out.select("src", "dst")
+
+
+def delete_edges(edges: DataFrame, gone: DataFrame) -> DataFrame:
+    """The edges that are not in ``gone`` (src, dst)."""
+    return edges.join(gone.select("src", "dst").distinct(), ["src", "dst"], "left_anti")
+
+
+def add_edges(edges: DataFrame, new: DataFrame) -> DataFrame:
+    """Both sets of edges; an edge that is there already changes nothing."""
+    return edges.select("src", "dst").union(new.select("src", "dst")).distinct()
+
+
+def lookups(edges: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, outs, ins, degree) of each id asked; empty lists where it has no edges."""
+    none = F.array().cast("array<bigint>")
+    asked = ids.select("id").distinct()
+    outs, ins = neighbours(edges).withColumnRenamed("neighbours", "outs"), neighbours(edges, out=False).withColumnRenamed("neighbours", "ins")
+    rows = asked.join(outs, "id", "left").join(ins, "id", "left").select("id", F.coalesce("outs", none).alias("outs"), F.coalesce("ins", none).alias("ins"))
+    return rows.withColumn("degree", F.size("outs") + F.size("ins"))
+
+
+def flattened(edges: DataFrame, by: str) -> DataFrame:
+    """(by, flat): the edges of a group as one array [from, to, from, to, ...], in order."""
+    pairs = F.array_sort(F.collect_list(F.struct("src", "dst")))
+    return edges.groupBy(by).agg(F.flatten(F.transform(pairs, lambda p: F.array(p["src"], p["dst"]))).alias("flat"))
+
+
+def replay(lines: DataFrame) -> DataFrame:
+    """(seq, src, degree): the out-degree that each ``get`` line finds when it runs.
+
+    lines: (seq, verb, src, dst). An ``add`` of an edge that is there, or a ``delete`` of one
+    that is not, changes nothing; a running sum over a vertex's changes answers its gets.
+    """
+    edge = Window.partitionBy("src", "dst").orderBy("seq")
+    writes = lines.where("verb in ('add', 'delete')").withColumn("before", F.lag("verb").over(edge))
+    changes = writes.where("verb <> coalesce(before, 'delete')").select("seq", "src", F.when(F.col("verb") == "add", 1).otherwise(-1).alias("d"), F.lit(0).alias("ask"))
+    both = changes.union(lines.where("verb = 'get'").select("seq", "src", F.lit(0), F.lit(1)))
+    upto = Window.partitionBy("src").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("degree", F.sum("d").over(upto)).where("ask = 1").select("seq", "src", "degree")
+
+
+def power_law_loads(n: int, least: int, most: int, alpha: float, spark) -> DataFrame:
+    """(id, round): each vertex once for each edge that the power law gives it, by rounds."""
+    ids = spark.range(n).select("id", F.floor(power_law_degree(F.col("id") / n, least, most, alpha) + 1e-9).cast("int").alias("degree"))
+    return ids.select("id", F.explode(F.sequence(F.lit(1), "degree")).alias("round"))
+
+
+def sketch_sizes(epsilon: float = 1 / 12000, delta: float = 0.1, vertices: int = 0) -> dict[str, int]:
+    """Bytes of a count-min sketch with 4-byte counters, and of one byte a vertex."""
+    return {"count_min": 4 * math.ceil(math.e / epsilon) * math.ceil(math.log(1 / delta)), "morris": vertices}
+
+
 def little_endian_order(ids: DataFrame) -> DataFrame:
     """§1.1: the place of each id in the byte order of its little-endian key."""
     return ids.select("id", F.hex(node_key(F.col("id"))).alias("key"))
@@ -119,12 +189,8 @@ def morris_estimate(counter: Column) -> Column:
 
 def morris_degree(degree: DataFrame, seed: int = 7) -> DataFrame:
     """The counter's estimate for a degree, with hashed draws; exact up to 32."""
-    import pandas as pd
-
     @F.pandas_udf("int")
     def counted(ids: pd.Series, n: pd.Series) -> pd.Series:
-        import numpy as np
-
         out = []
         for i, k in zip(ids, n):
             rng, c = np.random.default_rng([seed, int(i)]), 0
@@ -155,6 +221,14 @@ def count_min_estimate(sketch: DataFrame, keys: DataFrame, epsilon: float = 1 /
     return at.withColumn("cell", F.pmod(F.xxhash64("row", "key"), F.lit(width))).join(sketch, ["row", "cell"]).groupBy("key").agg(F.min("count").alias("estimate"))
 
 
+def estimator_accuracy(keys: DataFrame, epsilon: float = 1 / 12000, delta: float = 0.1) -> DataFrame:
+    """Mean absolute and relative error of the sketch against exact counts, and the greatest."""
+    exact = keys.groupBy("key").agg(F.count("*").alias("exact"))
+    both = count_min_estimate(count_min_table(keys, epsilon, delta), keys, epsilon, delta).join(exact, "key")
+    off = F.abs(F.col("estimate") - F.col("exact"))
+    return both.agg(F.avg(off).alias("mean_error"), F.avg(off / F.col("exact")).alias("mean_relative"), F.max(off).alias("most"))
+
+
 def vertices_with(props: DataFrame, name: str, value: str) -> DataFrame:
     """Vertices whose resolved property has that name and value."""
     return props.where((F.col("name") == name) & (F.col("value") == value)).select("id").distinct()

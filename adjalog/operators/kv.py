@@ -5,11 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .fold import merge_fold
+from .ordered import at_or_before, running
 
-def get_latest(log: DataFrame) -> DataFrame:
-    """(key, value) of the newest version, deletes absent; merge operands left out."""
+
+def get_latest(log: DataFrame, fold: Column | None = None) -> DataFrame:
+    """(key, value) of each key, deletes absent; merge operands are folded.
+
+    ``fold`` is the table's merge operator (see merges); without one the newest operand
+    stands for the value, as a put does.
+    """
+    if fold is not None:
+        return merge_fold(log, ["key"], fold)
     s = F.max_by(F.struct("op", "value"), "seq")
-    return log.where("op <> 2").groupBy("key").agg(s.alias("s")).where("s.op = 1").select("key", "s.value")
+    return log.groupBy("key").agg(s.alias("s")).where("s.op <> 0").select("key", "s.value")
 
 
 def multi_get(state: DataFrame, keys: DataFrame) -> DataFrame:
@@ -56,15 +65,56 @@ def capped_prefix(key: Column, n: int) -> Column:
 
 def merge_operands(log: DataFrame) -> DataFrame:
     """Unmerged operands after the newest base, oldest first, as text."""
-    base = F.max(F.when(F.col("op") != 2, F.col("seq"))).over(Window.partitionBy("key"))
-    rows = log.withColumn("base", F.coalesce(base, F.lit(-1))).where("op = 2 and seq > base")
+    base = log.where("op <> 2").groupBy("key").agg(F.max("seq").alias("base"))
+    rows = log.where("op = 2").join(base, "key", "left").where("base is null or seq > base")
     return rows.groupBy("key").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda s: s["value"].cast("string")), ",").alias("operands"), F.count("*").alias("n"))
 
 
+def limited_operands(log: DataFrame, most: int) -> DataFrame:
+    """``merge_operands``, null and incomplete for a key that has more than ``most``."""
+    found = merge_operands(log)
+    return found.select("key", F.when(F.col("n") <= most, F.col("operands")).alias("operands"), "n", (F.col("n") > most).alias("incomplete"))
+
+
 def soft_limit(rows: DataFrame, by: str, size: str, most: int) -> DataFrame:
-    """Rows in order until their sizes exceed the limit; the rest is flagged aborted."""
-    before = F.coalesce(F.sum(size).over(Window.orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return rows.withColumn("aborted", before > most)
+    """Rows in the order of a unique number until their sizes exceed the limit; the rest is flagged aborted."""
+    return running(rows, by, size, "__before").withColumn("aborted", F.col("__before") > most).drop("__before")
+
+
+def may_exist(state: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, may): false only for keys that are not there; the exact answer is one."""
+    return multi_get(state, keys).select("key", F.col("found").alias("may"))
+
+
+def seek_for_prev(state: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, at): the greatest key up to each number asked, or null."""
+    known = state.select("key").distinct().withColumn("at", F.col("key"))
+    return keys.join(at_or_before(keys, known, "key", "at"), "key")
+
+
+def seek(state: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key, at): the least key of at least each number asked, or null."""
+    back = seek_for_prev(state.select((-F.col("key")).alias("key")), keys.select((-F.col("key")).alias("key")))
+    return back.select((-F.col("key")).alias("key"), (-F.col("at")).alias("at"))
+
+
+def coalescing(*frames: DataFrame) -> DataFrame:
+    """One ordered view of several column families (key, value); the first that has a key gives its value."""
+    rows = [f.select("key", "value", F.lit(k).alias("cf")) for k, f in enumerate(frames)]
+    both = rows[0]
+    for r in rows[1:]:
+        both = both.union(r)
+    return both.groupBy("key").agg(F.min_by("value", "cf").alias("value"), F.min("cf").alias("cf"))
+
+
+def ttl_read(rows: DataFrame) -> DataFrame:
+    """W-side of C03: (key, value) of rows that carry a write time; expired rows are read until compacted."""
+    return rows.where("ts is not null").groupBy("key").agg(F.max_by("value", "seq").alias("value"))
+
+
+def checksums(rows: DataFrame, by: Column, value: Column) -> DataFrame:
+    """Rows and an order-independent checksum of each part of a table."""
+    return rows.groupBy(by.alias("part")).agg(F.count("*").alias("n"), F.bit_xor(F.crc32(value.cast("string").cast("binary"))).alias("checksum"))
 
 
 def overlay(base: DataFrame, batch: DataFrame) -> DataFrame:

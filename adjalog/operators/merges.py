@@ -7,10 +7,15 @@ from pyspark.sql import functions as F
 
 
 def uint64_add(value: str = "value") -> Column:
-    """A sum modulo 2**64, as a decimal."""
+    """A sum modulo 2**64, as a decimal; see codecs.uint64_or_zero for operands as bytes."""
     return F.sum(F.col(value).cast("decimal(20,0)")) % F.expr("18446744073709551616BD")
 
 
+def max_bytes(value: str = "value") -> Column:
+    """The greatest operand, byte by byte."""
+    return F.max(F.col(value).cast("string"))
+
+
 def put(value: str = "value", seq: str = "seq") -> Column:
     """The last operand."""
     return F.max_by(value, seq)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from adjalog import __main__ as cli
 from adjalog.functions import aggmerge, codecs
-from adjalog.operators import batches, caches, fold, graph, kv, merges
+from adjalog.operators import batches, caches, fold, graph, kv, merges, ordered
 from adjalog.sources import files
 from adjalog.streaming import logs
 
@@ -161,7 +161,7 @@ def test_caches(spark):
     got = {r.policy: r.hits for r in caches.simulate(trace, "s", "i", "k", 3).collect()}
     assert got["lru"] == 4 and got["fifo"] == 3 and got["opt"] >= max(got.values())
     assert caches.simulate(trace.where("false"), "s", "i", "k", 3).count() == 0
-    assert caches.bucket_limits(200)[:9] == [1, 2, 3, 4, 6, 9, 13, 19, 28]
+    assert caches.bucket_limits(200) == [1, 2, 3, 4, 6, 10, 15, 22, 34, 51, 76, 110, 170]
     one = caches.bucket_percentile(trace.withColumn("v", F.lit(7)), "s", "v", 99).first()
     assert (one.n, one.estimate) == (12, 7.0)
 
@@ -176,3 +176,80 @@ def test_text_commands(spark, tmp_path):
     run("dump", db, out)
     run("load", db + "2", out)
     assert run("scan", db + "2") == run("scan", db)
+
+
+def test_range_deletes_of_any_width(spark):
+    rng = random.Random(5)
+    at = lambda: rng.choice([0, 1, 2**20, 2**40, 2**62 - 1]) + rng.randrange(50)
+    log = [(i, at()) for i in range(400)]
+    dels = [(rng.randrange(400), *sorted((at(), at()))) for _ in range(300)] + [(500, 7, 7), (399, 2**62 - 1, 2**62)]
+    want = sorted(((s, k) for s, k in log if not any(lo <= k < hi and d > s for d, lo, hi in dels)), key=str)
+    logged, gone = spark.createDataFrame(log, "seq long, key long"), spark.createDataFrame(dels, "seq long, lo long, hi long")
+    out = fold.apply_range_deletes(logged, gone)
+    assert rows(out) == want and "NestedLoop" not in out._jdf.queryExecution().toString()
+    early = sorted(((s, k) for s, k in log if s <= 200 and not any(lo <= k < hi and 200 >= d > s for d, lo, hi in dels)), key=str)
+    assert rows(fold.apply_range_deletes(logged, gone, upto_seq=200)) == early
+    assert rows(fold.apply_range_deletes(logged, gone.limit(0))) == sorted(log, key=str)
+    with pytest.raises(Exception, match="ends before it begins"):
+        fold.apply_range_deletes(logged, spark.createDataFrame([(1, 5, 3)], "seq long, lo long, hi long")).collect()
+
+
+def test_ordered_windows(spark):
+    rng = random.Random(6)
+    numbers = rng.sample(range(-500, 10**6), 700)
+    df = spark.createDataFrame([(x, x % 7) for x in numbers], "x long, size long")
+    order = sorted(numbers)
+    assert rows(ordered.ranked(df, "x", "r").select("x", "r")) == sorted(((x, i) for i, x in enumerate(order)), key=str)
+    sums, total = {}, 0
+    for x in order:
+        sums[x] = total
+        total += x % 7
+    assert rows(ordered.running(df, "x", "size", "s").select("x", "s")) == sorted(sums.items(), key=str)
+    asked = [(x,) for x in rng.sample(range(-600, 10**6), 300)]
+    want = [(x, max((y for y in numbers if y <= x), default=None)) for (x,) in asked]
+    assert rows(kv.seek_for_prev(df.select(F.col("x").alias("key")), spark.createDataFrame(asked, "key long"))) == sorted(want, key=str)
+    assert ordered.ranked(df.limit(0), "x", "r").count() == 0
+
+
+def test_get_folds_merge_operands(spark):
+    log = spark.createDataFrame([(1, 1, 1, 5), (1, 2, 2, 7), (2, 1, 2, 3), (3, 1, 1, 1), (3, 2, 0, None), (4, 1, 1, 9)], "key long, seq long, op int, value long")
+    assert rows(kv.get_latest(log)) == [(1, 7), (2, 3), (4, 9)]
+    assert rows(kv.get_latest(log, F.sum("value"))) == [(1, 12), (2, 3), (4, 9)]
+    lists = log.withColumn("value", F.col("value").cast("string"))
+    assert rows(fold.merge_fold(lists, ["key"], merges.sort_list(), with_base=False)) == [(1, "7"), (2, "3"), (4, "9")]
+
+
+def test_counters_and_sketches(spark):
+    degree = spark.createDataFrame([(i, n) for i, n in enumerate([0, 1, 31, 32, 100, 1000, 5000])], "id long, degree long")
+    got = {r.degree: r.estimate for r in graph.morris_degree(degree).collect()}
+    assert all(got[n] == n for n in (0, 1, 31, 32)) and all(n / 2 < got[n] < 2 * n for n in (100, 1000, 5000))
+    keys = [i % 40 for i in range(500)] + [99] * 300
+    exact = {k: keys.count(k) for k in keys}
+    df = spark.createDataFrame([(k,) for k in keys], "key long")
+    est = {r.key: r.estimate for r in graph.count_min_estimate(graph.count_min_table(df, 0.3), df, 0.3).collect()}
+    assert all(est[k] >= n for k, n in exact.items()) and sum(est.values()) > sum(exact.values())
+    r = graph.estimator_accuracy(df, 0.3).first()
+    off = [est[k] - n for k, n in exact.items()]
+    assert r.most == max(off) and r.mean_error == pytest.approx(sum(off) / len(off)) and r.mean_relative == pytest.approx(sum((est[k] - n) / n for k, n in exact.items()) / len(off))
+
+
+def test_replay_and_lists(spark):
+    lines = [(1, "add", 1, 2), (2, "add", 1, 2), (3, "get", 1, None), (4, "delete", 1, 9), (5, "add", 1, 3), (6, "get", 1, None), (7, "delete", 1, 2), (8, "get", 1, None), (9, "get", 5, None)]
+    assert rows(graph.replay(spark.createDataFrame(lines, "seq long, verb string, src long, dst long"))) == [(3, 1, 1), (6, 1, 2), (8, 1, 1), (9, 5, 0)]
+    assert graph.sketch_sizes(vertices=10) == {"count_min": 4 * 32620 * 3, "morris": 10}
+    loads = graph.power_law_loads(100, 2, 50, 2.5, spark).groupBy("id").count()
+    assert loads.count() == 100 and loads.agg(F.min("count"), F.max("count")).first()[0] >= 2
+
+
+def test_versions_lint_and_rates(spark, tmp_path):
+    df = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "key long, name string")
+    files.save_version(df, str(tmp_path), 3)
+    assert rows(files.load_version(spark, str(tmp_path), 3)) == rows(df)
+    assert files.file_metadata(files.load_version(spark, str(tmp_path), 3)).agg(F.sum("rows")).first()[0] == 3
+    assert rows(codecs.property_lint(df)) == [(1,)]
+    cols = spark.createDataFrame([(1, 3, 10, 5, "x"), (1, 3, 90, 50, "y"), (1, 0, 1, 0, "z")], "key long, kind int, ts long, ttl long, value string")
+    assert rows(codecs.expire_columns(cols, 100).select("kind", "value")) == [(0, "z"), (1, None), (3, "y")]
+    assert codecs.expire_columns(cols, 100, purge=True).count() == 2
+    assert spark.createDataFrame([(b"\x01" + bytes(7),), (b"xx",)], "b binary").select(codecs.uint64_or_zero(F.col("b"))).collect()[0][0] == 1
+    sizes = spark.createDataFrame([(i, 10) for i in range(6)], "created long, size long")
+    assert rows(batches.fifo_drop(sizes, 35).select("created")) == [(3,), (4,), (5,)]
