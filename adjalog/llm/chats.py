@@ -2,22 +2,28 @@
 
 Calls and results meet in a hash join on the call's identifier. Calls are ordered so that
 each comes after those it depends on, validated against the schema of their tool, and
-written as canonical JSON: keys sorted, no spaces, no null fields. DataFrame functions only.
+written as canonical JSON: keys sorted, no spaces. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-#: For each tool, the rules of its arguments: (field, required, least, most). Lengths for
-#: strings, values for numbers; None where there is no bound.
+_TEXT = {"type": "string", "minLength": 1, "maxLength": 4000}
+_COUNT = {"type": "integer", "minimum": 1, "maximum": 4000}
+#: The schema of each tool's arguments: type, enum, bounds, items, properties, required and
+#: additionalProperties, as JSON Schema names them. A type may be a list of types.
 SCHEMAS = {
-    "ask": [("text", True, 1, 4000), ("n_chars", True, 1, 4000)],
-    "follow_up": [("after", True, 3, None), ("text", True, 1, 4000), ("n_chars", True, 1, 4000)],
+    "ask": {"type": "object", "properties": {"text": _TEXT, "n_chars": _COUNT}, "required": ["text", "n_chars"], "additionalProperties": False},
+    "follow_up": {"type": "object", "properties": {"after": {"type": "string", "minLength": 3}, "text": _TEXT, "n_chars": _COUNT}, "required": ["after", "text", "n_chars"], "additionalProperties": False},
 }
+#: Turns, or levels, of a conversation that are ordered together.
+BAND = 1024
 
 
 def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
@@ -60,43 +66,83 @@ def levels(calls: DataFrame, scratch: Scratch) -> DataFrame:
     return ends.union(below.select("call_id", (F.col("level") + F.col("d")).alias("level")))
 
 
-def is_valid(arguments: Column, name: Column, types: dict[str, str], schemas: dict = SCHEMAS) -> Column:
-    """Whether a struct of arguments meets the schema of its tool; false for an unknown tool."""
+_TYPES = {
+    "integer": "BIGINT",
+    "number": "BIGINT|DOUBLE|FLOAT|DECIMAL.*",
+    "string": "STRING",
+    "boolean": "BOOLEAN",
+    "null": "VOID",
+    "object": "OBJECT.*",
+    "array": "ARRAY.*",
+}
+
+
+def meets(value: Column, schema: dict) -> Column:
+    """Whether a variant meets a schema; never null. Nested schemas nest in the expression."""
+    kind = F.schema_of_variant(value)
+    is_a = lambda t: kind.rlike(f"^({_TYPES[t]})$")
+    ok = value.isNotNull()
+    if "type" in schema:
+        types = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
+        allowed = is_a(types[0])
+        for t in types[1:]:
+            allowed = allowed | is_a(t)
+        ok = ok & allowed
+    if "enum" in schema:
+        ok = ok & F.to_json(value).isin([json.dumps(x, separators=(",", ":"), sort_keys=True, ensure_ascii=False) for x in schema["enum"]])
+    size, number = F.length(F.try_variant_get(value, "$", "string")), F.try_variant_get(value, "$", "double")
+    for name, test, good in (("minLength", "string", lambda x: size >= x), ("maxLength", "string", lambda x: size <= x), ("minimum", "number", lambda x: number >= x), ("maximum", "number", lambda x: number <= x)):
+        if name in schema:
+            ok = ok & (~is_a(test) | good(schema[name]))
+    if "items" in schema:
+        ok = ok & F.coalesce(F.forall(F.try_variant_get(value, "$", "array<variant>"), lambda x: meets(x, schema["items"])), F.lit(True))
+    fields = F.try_variant_get(value, "$", "map<string,variant>")
+    known = schema.get("properties", {})
+    for name in schema.get("required", []):
+        ok = ok & F.coalesce(F.map_contains_key(fields, name), F.lit(True))
+    for name, inner in known.items():
+        ok = ok & (~F.coalesce(F.map_contains_key(fields, name), F.lit(False)) | meets(fields[name], inner))
+    if schema.get("additionalProperties", True) is False:
+        ok = ok & F.coalesce(F.forall(F.map_keys(fields), lambda k: k.isin(list(known)) if known else F.lit(False)), F.lit(True))
+    return F.coalesce(ok, F.lit(False))
+
+
+def is_valid(arguments: Column, name: Column, schemas: dict = SCHEMAS) -> Column:
+    """Whether a variant of arguments meets the schema of its tool; false for an unknown tool or a null."""
     out = F.lit(False)
-    for tool, fields in schemas.items():
-        ok = F.lit(True)
-        for field, required, least, most in fields:
-            v = arguments[field]
-            size = F.length(v) if types[field] == "string" else v
-            good = F.lit(True)
-            if least is not None:
-                good = good & (size >= least)
-            if most is not None:
-                good = good & (size <= most)
-            ok = ok & F.coalesce(good, F.lit(not required))
-        out = F.when(name == tool, ok).otherwise(out)
+    for tool, schema in schemas.items():
+        out = F.when(name == tool, meets(arguments, schema)).otherwise(out)
     return F.coalesce(out, F.lit(False))
 
 
 def link_calls(calls: DataFrame, results: DataFrame, schemas: dict = SCHEMAS) -> DataFrame:
     """One row a call: (conv_id, turn, call_id, name, position, n_results, valid, record).
 
-    calls: (conv_id, turn, call_id, name, after, arguments: struct with sorted fields);
-    results: (call_id, turn, role, text). Equal rows count once; calls that share an
-    identifier each get all its results; a null identifier matches nothing. ``position``
+    calls: (conv_id, turn, call_id, name, after, arguments: JSON text); results: (call_id,
+    turn, role, text). ``record`` is canonical JSON: keys sorted at every depth, no spaces, no
+    null fields of its own; arguments that are no JSON stand there as text, and are invalid.
+    Equal rows count once, arguments being equal if their canonical JSON is; calls that share
+    an identifier each get all its results; a null identifier matches nothing. ``position``
     counts a conversation's calls in topological order, ties by turn and arguments; calls
     of a cycle come last. A call without result has an empty list. Results without a call
-    are in no row. Other columns are not read; empty tables give no rows.
+    are in no row. Other columns, whatever their names, are not read; texts are kept whole;
+    empty tables give no rows. A conversation is numbered in bands of BAND levels.
     """
     scratch = Scratch(calls.sparkSession, "calls")
-    calls = scratch.keep(calls.select("conv_id", "turn", "call_id", "name", "after", "arguments").distinct(), "calls")
-    types = {f.name: f.dataType.simpleString() for f in calls.schema["arguments"].dataType.fields}
+    parsed = F.to_json(F.try_parse_json("arguments"))
+    calls = calls.select("conv_id", "turn", "call_id", "name", "after", parsed.alias("arguments"), F.when(parsed.isNull(), F.col("arguments")).alias("raw"))
+    calls = scratch.keep(calls.distinct(), "calls")
     answers = results.select("call_id", "turn", "role", "text").distinct().groupBy("call_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("found"))
-    ordered = calls.join(levels(calls, scratch), "call_id", "left").join(answers, "call_id", "left")
-    w = Window.partitionBy("conv_id").orderBy(F.col("level").asc_nulls_last(), "turn", F.to_json("arguments"))
-    rows = ordered.withColumn("position", F.row_number().over(w)).withColumn("valid", is_valid(F.col("arguments"), F.col("name"), types, schemas))
+    ordered = scratch.keep(calls.join(levels(calls, scratch), "call_id", "left").withColumn("band", F.floor(F.coalesce("level", F.lit(2**31 - 1)) / BAND)), "levels")
+    w = Window.partitionBy("conv_id", "band").orderBy(F.col("level").asc_nulls_last(), "turn", "arguments", "raw")
+    ahead = Window.partitionBy("conv_id").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    past = ordered.groupBy("conv_id", "band").agg(F.count("*").alias("n")).select("conv_id", "band", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("past"))
+    ordered = ordered.withColumn("place", F.row_number().over(w)).alias("c").join(past.alias("p"), F.col("c.conv_id").eqNullSafe(F.col("p.conv_id")) & (F.col("c.band") == F.col("p.band"))).select("c.*", (F.col("c.place") + F.col("p.past")).cast("int").alias("position"))
+    value = F.try_parse_json("arguments")
+    text = F.try_variant_get(F.try_parse_json(F.to_json(F.struct("raw"))), "$.raw", "variant")
+    rows = ordered.join(answers, "call_id", "left").withColumn("valid", is_valid(value, F.col("name"), schemas))
     found = F.coalesce(F.transform("found", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"), r["turn"].alias("turn"))), F.array().cast("array<struct<role:string,text:string,turn:bigint>>"))
-    record = F.to_json(F.struct("arguments", "call_id", "name", "position", found.alias("results"), "valid"))
+    record = F.to_json(F.struct(F.coalesce(value, text).alias("arguments"), "call_id", "name", "position", found.alias("results"), "valid"))
     return rows.select("conv_id", "turn", "call_id", "name", "position", F.coalesce(F.size("found"), F.lit(0)).alias("n_results"), "valid", record.alias("record"))
 
 
@@ -108,14 +154,17 @@ def from_conversations(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
     conversation or turn take no part.
     """
     turns = turns.where("conv_id is not null and turn is not null").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    w = Window.partitionBy("conv_id").orderBy("turn")
-    asked = F.when(F.col("role") == "user", F.col("turn"))
-    last = F.last(asked, ignorenulls=True)
-    rows = turns.withColumn("now", last.over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("before", last.over(w.rangeBetween(Window.unboundedPreceding, -1)))
+    # Within bands of turns; what the bands before hold comes from one row a band.
+    turns = turns.withColumn("band", F.floor(F.col("turn") / BAND)).withColumn("asked", F.when(F.col("role") == "user", F.col("turn")))
+    w = Window.partitionBy("conv_id", "band").orderBy("turn")
+    ahead = Window.partitionBy("conv_id").orderBy("band").rowsBetween(Window.unboundedPreceding, -1)
+    past = turns.groupBy("conv_id", "band").agg(F.max("asked").alias("m")).select("conv_id", "band", F.max("m").over(ahead).alias("past"))
+    rows = turns.withColumn("now", F.max("asked").over(w.rangeBetween(Window.unboundedPreceding, 0))).withColumn("before", F.max("asked").over(w.rangeBetween(Window.unboundedPreceding, -1)))
+    rows = rows.join(past, ["conv_id", "band"]).withColumn("now", F.coalesce("now", "past")).withColumn("before", F.coalesce("before", "past"))
     name = lambda t: F.concat_ws(":", F.col("conv_id").cast("string"), F.col(t).cast("string"))
     calls = rows.where("role = 'user'").withColumn("call_id", name("turn")).withColumn("after", F.when(F.col("before").isNotNull(), name("before")))
     arguments = F.struct("after", F.length("text").cast("long").alias("n_chars"), "text")
-    calls = calls.select("conv_id", "turn", "call_id", F.when(F.col("after").isNull(), "ask").otherwise("follow_up").alias("name"), "after", arguments.alias("arguments"))
+    calls = calls.select("conv_id", "turn", "call_id", F.when(F.col("after").isNull(), "ask").otherwise("follow_up").alias("name"), "after", F.to_json(arguments).alias("arguments"))
     results = rows.where("role <> 'user' and now is not null").select(name("now").alias("call_id"), "turn", "role", "text")
     return calls, results
 

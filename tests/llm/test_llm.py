@@ -457,6 +457,50 @@ def test_tool_calls(spark):
     assert {r.call_id: r.level for r in chats.levels(cycle, simhash.Scratch(spark, "t")).collect()} == {"c": 0, "d": 1}
 
 
+def test_schemas_of_arguments(spark):
+    schema = {
+        "type": "object",
+        "properties": {"unit": {"enum": ["C", "F"]}, "n": {"type": "integer", "minimum": 0}, "at": {"type": "object", "properties": {"lat": {"type": "number", "maximum": 90}}, "required": ["lat"], "additionalProperties": False}, "tags": {"type": "array", "items": {"type": ["string", "null"], "maxLength": 3}}},
+        "required": ["unit"],
+        "additionalProperties": False,
+    }
+    cases = {
+        '{"unit":"C"}': True,
+        '{"unit":"K"}': False,
+        "{}": False,
+        '{"unit":"F","n":0,"at":{"lat":1.5},"tags":["a",null]}': True,
+        '{"unit":"F","n":1.5}': False,
+        '{"unit":"F","n":-1}': False,
+        '{"unit":"F","n":"1"}': False,
+        '{"unit":"F","at":{}}': False,
+        '{"unit":"F","at":{"lat":91}}': False,
+        '{"unit":"F","at":{"lat":1,"lon":2}}': False,
+        '{"unit":"F","tags":["long"]}': False,
+        '{"unit":"F","tags":"a"}': False,
+        '{"unit":"F","other":1}': False,
+        "[]": False,
+        "no json": False,
+        None: False,
+    }
+    calls = [(1, i, f"c{i}", "f", None, a, "x") for i, a in enumerate(cases)] + [(1, 50, "c0", "f", None, ' {"tags": [], "unit": "C"}', "y"), (1, 51, "u", "unknown", None, "{}", "z")]
+    frame = spark.createDataFrame(calls, "conv_id long, turn long, call_id string, name string, after string, arguments string, band string")
+    results = spark.createDataFrame([("c0", 1, "tool", "r", "x")], "call_id string, turn long, role string, text string, level string")
+    got = {r.turn: r for r in chats.link_calls(frame, results, {"f": schema}).collect()}
+    assert [got[i].valid for i in range(len(cases))] == list(cases.values())
+    assert got[50].valid and got[50].n_results == got[0].n_results == 1 and not got[51].valid
+    assert '"arguments":{"tags":[],"unit":"C"}' in got[50].record and '"arguments":"no json"' in got[14].record
+    assert chats.link_calls(frame.limit(0), results.limit(0)).count() == 0
+
+
+def test_long_conversations(spark, monkeypatch):
+    rng = random.Random(23)
+    turns = [(c, i, rng.choice(["user", "assistant"]), f"t{i}") for c in (1, 2) for i in range(40)] + [(1, 7, "user", "again")]
+    frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    whole = Counter(map(tuple, chats.link_calls(*chats.from_conversations(frame)).collect()))
+    monkeypatch.setattr(chats, "BAND", 3)
+    assert Counter(map(tuple, chats.link_calls(*chats.from_conversations(frame)).collect())) == whole
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
@@ -485,3 +529,31 @@ def test_levels_of_chains_branches_and_cycles(spark):
     frame = spark.createDataFrame(rows, "call_id string, after string")
     assert dict(map(tuple, levels(frame, Scratch(spark, "test")).collect())) == want
     assert levels(frame.limit(0), Scratch(spark, "test")).count() == 0
+
+
+def test_queries_return_their_columns(spark, docs, tmp_path):
+    """Every opN_ query over whole small tables with nulls and repeats, by its contract."""
+    from adjalog.llm import queries
+
+    docs.select("doc_id", "text", "lang", "source", "n_chars").write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, int(i % 4 > 0), int(i % 5 == 0)) for i in range(48)] + [(None, 1, 1), (3, 0, 1)]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    run = {name.split("_")[0]: f(spark, str(tmp_path)) for name, f in queries.queries().items() if name != "op4_tool_calls"}
+    source = docs.collect()
+    ids = Counter(r.doc_id for r in source)
+    kept = {n: df.collect() for n, df in run.items()}
+    for n, rows in kept.items():
+        if n != "op6":
+            assert Counter(r.doc_id for r in rows) == ids, n
+    crc = lambda i, m: -1 if i is None else zlib.crc32(str(i).encode()) % m
+    for n, folds, out in (("op3", 3, 1), ("op7", 5, 0), ("op8", 4, 2)):
+        assert all(r.held_out == (crc(r.doc_id, folds) == out) and 0 <= r.score <= 1 for r in kept[n]), n
+    assert all(r.predicted == int(r.score >= 0.5) for n in ("op3", "op7") for r in kept[n])
+    texts = {r.doc_id: r.text or "" for r in source}
+    assert all(r.fingerprint == f"{simhash_by_hand(texts[r.doc_id], 3):016x}" for r in kept["op1"])
+    assert all(r.n_chars == len(texts[r.doc_id]) for r in kept["op2"])
+    assert all(r.size == len(texts[r.doc_id].encode().split()) and r.taken in (0, r.size, 2 * r.size) and r.taken == r.size * len(r.shards.split(",") if r.shards else []) for r in kept["op5"])
+    assert {r.doc_id for r in kept["op6"]} == set(ids) and all(r.offset + r.length <= 1024 for r in kept["op6"])
+    assert all(r.lang_pred == "und" for r in kept["op8"] if not any(map(str.isalpha, texts[r.doc_id])))
+    assert all(r.base_failed == (r.n_words < 10 or 100 * r.n_repeat_words > 20 * r.n_words) and not (r.base_failed and r.kept) for r in kept["op9"])
+    assert all(len(r.kept_sha256) == 64 and 0 <= r.n_removed <= r.n_words for r in kept["op10"])
