@@ -59,10 +59,21 @@ def load(spark: SparkSession, path: str, source: str) -> None:
     append(spark, path, lines.select(good.alias("key"), rest.alias("text")).groupBy("key").agg(F.max("text").alias("value")).withColumn("op", F.lit(1)))
 
 
+def delete_range(spark: SparkSession, path: str, lo: str, hi: str) -> None:
+    """Delete the keys in [lo, hi) that live now; a range that ends before it begins is an error."""
+    if hi < lo:
+        raise ValueError("the range ends before it begins")
+    append(spark, path, live(spark, path, lo, hi).select("key", F.lit(0).alias("op"), F.lit(None).cast("string").alias("value")))
+
+
+#: Commands and how many arguments follow the path; None: one or more.
+COMMANDS = {"get": 1, "multi_get": None, "put": 2, "batchput": None, "delete": 1, "deleterange": 2, "scan": 0, "count": 0, "dump": 1, "load": 1, "approxsize": 0, "checkconsistency": 0}
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> list[str]:
     """Run one command; prints and returns its lines."""
     parser = argparse.ArgumentParser(prog="adjalog")
-    parser.add_argument("command", choices=["get", "put", "delete", "scan", "count", "dump", "load"])
+    parser.add_argument("command", choices=sorted(COMMANDS))
     parser.add_argument("path")
     parser.add_argument("rest", nargs="*")
     parser.add_argument("--from", dest="lo")
@@ -71,16 +82,33 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> li
     a = parser.parse_args(argv)
     spark = spark or SparkSession.builder.appName("adjalog").getOrCreate()
     bounds = {"lo": a.lo, "hi": a.hi, "limit": a.limit}
-    if len(a.rest) != {"get": 1, "put": 2, "delete": 1, "dump": 1, "load": 1}.get(a.command, 0):
+    want, have = COMMANDS[a.command], len(a.rest)
+    if (want is None and not have) or (want is not None and have != want) or (a.command == "batchput" and have % 2):
         parser.error(f"wrong number of arguments for {a.command}")
     out = []
     if a.command == "get":
         found = kv.get_latest(read_log(spark, a.path).where(F.col("key") == a.rest[0])).first()
         out = [found.value if found else "NotFound"]
-    elif a.command in ("put", "delete"):
-        row = (a.rest[0], 1, a.rest[1]) if a.command == "put" else (a.rest[0], 0, None)
-        append(spark, a.path, spark.createDataFrame([row], "key string, op int, value string"))
+    elif a.command == "multi_get":
+        asked = spark.createDataFrame([(k,) for k in a.rest], "key string")
+        found = {r.key: r.value for r in kv.multi_get(kv.get_latest(read_log(spark, a.path).where(F.col("key").isin(a.rest))), asked).where("found").collect()}
+        out = [f"{k}{DELIMITER}{found[k]}" if k in found else f"{k}{DELIMITER}NotFound" for k in a.rest]
+    elif a.command in ("put", "batchput"):
+        pairs = dict(zip(a.rest[::2], a.rest[1::2]))  # the last value of a key counts
+        append(spark, a.path, spark.createDataFrame([(k, 1, v) for k, v in pairs.items()], "key string, op int, value string"))
+        out = ["OK"]
+    elif a.command == "delete":
+        append(spark, a.path, spark.createDataFrame([(a.rest[0], 0, None)], "key string, op int, value string"))
+        out = ["OK"]
+    elif a.command == "deleterange":
+        delete_range(spark, a.path, *a.rest)
         out = ["OK"]
+    elif a.command == "approxsize":
+        size = F.sum(F.length("key") + F.length("value"))
+        out = [str(live(spark, a.path, a.lo, a.hi).agg(size).first()[0] or 0)]
+    elif a.command == "checkconsistency":
+        wrong = read_log(spark, a.path).where("key is null or seq is null or op is null or op not in (0, 1, 2) or (op <> 0 and value is null)").count()
+        out = ["OK" if not wrong else f"Corruption: {wrong} rows"]
     elif a.command == "scan":
         out = [f"{r.key}{DELIMITER}{r.value}" for r in live(spark, a.path, **bounds).toLocalIterator()]
     elif a.command == "count":

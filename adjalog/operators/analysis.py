@@ -87,3 +87,17 @@ def skewness(trace: DataFrame) -> DataFrame:
 def prefix_rates(trace: DataFrame, prefix: Column, seconds: int) -> DataFrame:
     """``rates`` by key prefix."""
     return rates(trace.withColumn("type", prefix), seconds)
+
+
+def schedule(trace: DataFrame, speed: float = 1.0) -> DataFrame:
+    """The trace with ``due_us``: when a replay that runs ``speed`` times as fast issues each access."""
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    begin = trace.agg(F.min(at)).first()[0]
+    return trace.withColumn("due_us", F.floor((at - F.lit(begin)) / speed).cast("long"))
+
+
+def replay(trace: DataFrame, write: Column, value: Column) -> DataFrame:
+    """(event_id, key, found): what each read meets: the newest value written before it, or null."""
+    w = Window.partitionBy("key").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
+    met = F.last(F.when(write, value), ignorenulls=True).over(w)
+    return trace.withColumn("__write", write).withColumn("found", met).where(~F.col("__write")).select("event_id", "key", "found")

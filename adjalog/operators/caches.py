@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 import heapq
 from collections import OrderedDict
 
@@ -49,11 +50,97 @@ class _Ranked:
         return hit
 
 
+class _Newest:
+    """Evicts the most recently used."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.held = capacity, OrderedDict()
+
+    def access(self, key, after) -> bool:
+        hit = key in self.held
+        if not hit and len(self.held) >= self.capacity:
+            self.held.popitem()
+        self.held[key] = None
+        self.held.move_to_end(key)
+        return hit
+
+
+class _Hyperbolic:
+    """Evicts the least accesses for each access of the cache since a key came in; ties: the oldest."""
+
+    def __init__(self, capacity: int):
+        self.capacity, self.held, self.clock = capacity, {}, 0
+
+    def access(self, key, after) -> bool:
+        self.clock += 1
+        if key in self.held:
+            self.held[key][0] += 1
+            return True
+        if len(self.held) >= self.capacity:
+            del self.held[min(self.held, key=lambda k: (self.held[k][0] / (self.clock - self.held[k][1]), self.held[k][1]))]
+        self.held[key] = [1, self.clock]
+        return False
+
+
+class _Adaptive:
+    """Adaptive replacement: keys met once and keys met again, each with a list of those evicted.
+
+    A miss that is still on one of these lists moves the share of its side.
+    """
+
+    def __init__(self, capacity: int):
+        self.capacity, self.share = capacity, 0.0
+        self.once, self.again, self.gone_once, self.gone_again = (OrderedDict() for _ in range(4))
+
+    def _evict(self, was_again: bool) -> None:
+        n = len(self.once)
+        if n and (n > self.share or (was_again and n == self.share) or not self.again):
+            self.gone_once[self.once.popitem(last=False)[0]] = None
+        else:
+            self.gone_again[self.again.popitem(last=False)[0]] = None
+
+    def access(self, key, after) -> bool:
+        for side in (self.once, self.again):
+            if key in side:
+                del side[key]
+                self.again[key] = None
+                return True
+        a, b = len(self.gone_once), len(self.gone_again)
+        if key in self.gone_once:
+            self.share = min(self.capacity, self.share + max(1, b / a))
+            self._evict(False)
+            del self.gone_once[key]
+            self.again[key] = None
+        elif key in self.gone_again:
+            self.share = max(0, self.share - max(1, a / b))
+            self._evict(True)
+            del self.gone_again[key]
+            self.again[key] = None
+        else:
+            held = len(self.once) + len(self.again)
+            if len(self.once) + a == self.capacity:
+                if a:
+                    self.gone_once.popitem(last=False)
+                    self._evict(False)
+                else:
+                    self.once.popitem(last=False)
+            elif held + a + b >= self.capacity:
+                if held + a + b == 2 * self.capacity:
+                    self.gone_again.popitem(last=False)
+                if held >= self.capacity:
+                    self._evict(False)
+            self.once[key] = None
+        return False
+
+
 POLICIES = {
     "lru": lambda n: _Recent(n, True),
     "fifo": lambda n: _Recent(n, False),
     "lfu": lambda n: _Ranked(n, False),
     "opt": lambda n: _Ranked(n, True),
+    "mru": _Newest,
+    "hyperbolic": _Hyperbolic,
+    "arc": _Adaptive,
 }
 _NEVER = 1 << 62
 
@@ -90,6 +177,46 @@ def simulate(trace: DataFrame, shard: str, order: str, key: str, capacity: int,
     return parts.groupBy("shard", "policy").agg(F.sum("accesses").alias("accesses"), F.sum("hits").alias("hits"))
 
 
+def reuse_distances(trace: DataFrame, shard: str, order: str, key: str) -> DataFrame:
+    """(shard, distance, n): other keys met between two accesses of a key; -1 for its first.
+
+    Each shard is read in order by one task, which holds its distinct keys; more shards
+    spread further, and distances then are within a shard, as those of a sharded cache.
+    """
+    rows = trace.select(F.col(shard).alias("shard"), F.col(order).alias("at"), F.col(key).alias("key")).repartition("shard").sortWithinPartitions("shard", "at")
+
+    def replay(batches):
+        import pandas as pd
+
+        now, seen, times, clock = None, None, [], 0
+        for b in batches:
+            counts: dict = {}
+            for s, k in zip(b["shard"].tolist(), b["key"].tolist()):
+                if seen is None or s != now:
+                    now, seen, times, clock = s, {}, [], 0
+                d, last = -1, seen.get(k)
+                if last is not None:
+                    at = bisect.bisect_left(times, last)
+                    d = len(times) - at - 1
+                    del times[at]
+                clock += 1
+                seen[k] = clock
+                times.append(clock)
+                counts[s, d] = counts.get((s, d), 0) + 1
+            yield pd.DataFrame([(*x, n) for x, n in counts.items()], columns=["shard", "distance", "n"])
+
+    kind = rows.schema["shard"].dataType.simpleString()
+    return rows.mapInPandas(replay, f"shard {kind}, distance long, n long").groupBy("shard", "distance").agg(F.sum("n").alias("n"))
+
+
+def miss_ratio_curve(distances: DataFrame, capacities: list[int]) -> DataFrame:
+    """(capacity, misses, ratio) of least-recently-used shards of each capacity, all from one pass."""
+    sums = [F.sum(F.when((F.col("distance") < 0) | (F.col("distance") >= c), F.col("n")).otherwise(0)).alias(str(c)) for c in capacities]
+    total = distances.agg(F.sum("n").alias("n"), F.array(*sums).alias("m"))
+    each = total.select("n", F.explode(F.arrays_zip(F.array(*map(F.lit, capacities)).alias("capacity"), F.col("m").alias("misses"))).alias("x"))
+    return each.select(F.col("x.capacity").cast("long").alias("capacity"), F.col("x.misses").alias("misses"), (F.col("x.misses") / F.col("n")).alias("ratio"))
+
+
 def bucket_limits(most: int = 1 << 63) -> list[int]:
     """Upper limits of histogram buckets: 1, 2, then steps of 1.5, each cut to two digits; the steps are not."""
     out, at = [1, 2], 2.0

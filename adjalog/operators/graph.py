@@ -244,3 +244,21 @@ def profile(rows: DataFrame, by: list[str], value: str) -> DataFrame:
     """Mean, and normal approximations of the 95th and 99th percentile."""
     mean, sd = F.avg(value), F.stddev_pop(value)
     return rows.groupBy(*by).agg(mean.alias("p50"), (mean + 1.645 * sd).alias("p95"), (mean + 2.326 * sd).alias("p99"))
+
+
+def random_graph(spark, n: int, m: int, seed: int = 1) -> DataFrame:
+    """M edges (src, dst) between n vertices, drawn by hash so that reruns agree; repeats can occur."""
+    draw = [F.pmod(F.xxhash64(F.lit(seed), F.lit(side), "id"), F.lit(n)).alias(name) for side, name in enumerate(("src", "dst"))]
+    return spark.range(m).select(*draw)
+
+
+def operation_mix(spark, n: int, count: int, shares: dict[str, float], seed: int = 1) -> DataFrame:
+    """A workload (seq, verb, src, dst) with verbs by their shares, drawn by hash; see ``replay``."""
+    total, upto = sum(shares.values()), 0.0
+    u = F.pmod(F.xxhash64(F.lit(seed), F.lit("verb"), "id"), F.lit(1 << 30)) / float(1 << 30)
+    verb = None
+    for name, share in shares.items():
+        upto += share / total
+        verb = F.when(u < upto, name) if verb is None else verb.when(u < upto, name)
+    ends = [F.pmod(F.xxhash64(F.lit(seed), F.lit(side), "id"), F.lit(n)).alias(name) for side, name in enumerate(("src", "dst"))]
+    return spark.range(count).select(F.col("id").alias("seq"), verb.otherwise(list(shares)[-1]).alias("verb"), *ends)

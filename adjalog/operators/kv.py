@@ -63,6 +63,11 @@ def capped_prefix(key: Column, n: int) -> Column:
     return F.substring(key, 1, n)
 
 
+def noop_prefix(key: Column) -> Column:
+    """The whole key is its prefix."""
+    return key
+
+
 def merge_operands(log: DataFrame) -> DataFrame:
     """Unmerged operands after the newest base, oldest first, as text."""
     base = log.where("op <> 2").groupBy("key").agg(F.max("seq").alias("base"))
@@ -155,9 +160,15 @@ def deletion_windows(log: DataFrame, n: int, most: int) -> DataFrame:
     return log.withColumn("deletes", F.sum(F.when(F.col("op") == 0, 1).otherwise(0)).over(w)).groupBy("part").agg((F.max("deletes") >= most).alias("triggered"), F.max("deletes").alias("most"))
 
 
-def stop_at(records: DataFrame, stop: Column, ignore: Column) -> DataFrame:
-    """A log's records before the first that says stop, without those to ignore."""
-    first = records.where(stop).agg(F.min("seq").alias("stop"))
+def stop_at(records: DataFrame, stop: Column, ignore: Column, corrupted: Column | None = None) -> DataFrame:
+    """A log's records before the first that says stop, without those to ignore.
+
+    A corrupted record before the stop is an error.
+    """
+    bad = F.lit(None).cast("long") if corrupted is None else F.min(F.when(corrupted, F.col("seq")))
+    first = records.agg(F.min(F.when(stop, F.col("seq"))).alias("stop"), bad.alias("bad"))
+    wrong = F.raise_error(F.concat(F.lit("corrupted record: "), F.col("bad").cast("string"))).cast("long")
+    first = first.select(F.when((F.col("bad") < F.col("stop")) | (F.col("stop").isNull() & F.col("bad").isNotNull()), wrong).otherwise(F.col("stop")).alias("stop"))
     return records.join(F.broadcast(first), (F.col("stop").isNull()) | (F.col("seq") < F.col("stop")), "left_semi").where(~ignore)
 
 

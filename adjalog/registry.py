@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import aggmerge, codecs
-from .operators import analysis, batches, caches, fold, graph, kv, merges
+from .operators import analysis, batches, caches, fold, graph, graph_log, kv, lifecycle, merges
 from .plans.fixtures import fixture, with_sql
+from .sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -662,3 +663,145 @@ def trace_prefix_rates(trace):
 @query(None, "kv")
 def kv_checksums(log):
     return kv.checksums(log, F.col("key") % 8, F.concat_ws(",", "key", "seq", "op", "value"))
+
+
+# --- compaction, transactions, column families, files ---
+
+_BASED = "(SELECT * FROM (SELECT *, max(CASE WHEN op <> 2 THEN seq END) OVER (PARTITION BY key) AS base FROM kv) WHERE base IS NULL OR seq >= base)"
+
+
+@query("SELECT key, seq, CASE WHEN op = 0 THEN 0 WHEN key % 5 = 0 THEN 0 WHEN key % 5 = 1 THEN 3 WHEN key % 5 = 2 THEN 1 ELSE op END AS op, CASE WHEN op = 0 OR key % 5 > 2 THEN value WHEN key % 5 = 2 THEN -value END AS value FROM kv", "kv")
+def compaction_decisions(log):
+    k = F.col("key") % 5
+    said = F.when(k == 0, lifecycle.REMOVE).when(k == 1, lifecycle.PURGE).when(k == 2, lifecycle.CHANGE).otherwise(lifecycle.KEEP)
+    return lifecycle.compaction_filter(log, said, -F.col("value")).select("key", "seq", "op", "value")
+
+
+@query("SELECT seq // 10 AS xid, count(*) AS writes, CASE WHEN seq // 10 % 3 = 0 THEN 'committed' WHEN seq // 10 % 3 = 1 THEN 'rolledback' WHEN seq // 10 % 5 < 4 THEN 'prepared' ELSE 'started' END AS state FROM kv GROUP BY 1", "kv")
+def txn_states(log):
+    log = log.withColumn("xid", F.floor(F.col("seq") / 10))
+    ids = log.select("xid").distinct()
+    ends = ids.where("xid % 3 < 2").select("xid", F.when(F.col("xid") % 3 == 0, "commit").otherwise("rollback").alias("mark"), F.lit(2).alias("mark_seq"))
+    late = ids.where("xid % 3 = 0").select("xid", F.lit("rollback").alias("mark"), F.lit(3).alias("mark_seq"))
+    marks = ids.where("xid % 5 < 4").select("xid", F.lit("prepare").alias("mark"), F.lit(1).alias("mark_seq")).union(ends).union(late)
+    return lifecycle.transaction_states(log, marks)
+
+
+@query("SELECT batch, key, seq, op FROM (SELECT *, max(CASE WHEN op <> 2 THEN seq END) OVER (PARTITION BY batch, key) AS base FROM (SELECT seq // 500 AS batch, * FROM kv)) WHERE base IS NULL OR seq >= base", "kv")
+def batch_overwritten(log):
+    return lifecycle.overwritten(log.withColumn("batch", F.floor(F.col("seq") / 500)), "batch").select("batch", "key", "seq", "op")
+
+
+_FAMILIES = "SELECT seq, key % 20 AS name, CASE WHEN seq % 3 = 0 THEN 'drop' ELSE 'create' END AS verb FROM kv"
+
+
+@query(f"SELECT name, min(seq) AS created FROM (SELECT *, max(CASE verb WHEN 'drop' THEN seq ELSE -1 END) OVER (PARTITION BY name) AS gone FROM ({_FAMILIES})) WHERE seq > gone GROUP BY name", "kv")
+def column_families(log):
+    verb = F.when(F.col("seq") % 3 == 0, "drop").otherwise("create")
+    return lifecycle.column_families(log.select("seq", (F.col("key") % 20).alias("name"), verb.alias("verb")))
+
+
+@query("SELECT seq // 500 AS file, count(*) AS entries, CAST(sum((op = 0)::INT) AS BIGINT) AS deletes, CAST(sum((op = 2)::INT) AS BIGINT) AS merges, min(key) AS least, max(key) AS most FROM kv GROUP BY 1", "kv")
+def table_properties(log):
+    return lifecycle.table_properties(log, F.floor(F.col("seq") / 500).cast("long"))
+
+
+@query("SELECT key, seq FROM kv WHERE seq // 50 IN (SELECT seq // 50 FROM kv GROUP BY 1 HAVING sum((op = 0)::INT) * 7 > count(*))", "kv")
+def table_filter(log):
+    return lifecycle.table_filter(log, F.floor(F.col("seq") / 50), F.col("deletes") * 7 > F.col("entries")).select("key", "seq")
+
+
+@query("SELECT key, seq FROM kv WHERE key // 7 NOT IN (SELECT key // 7 FROM kv GROUP BY 1 HAVING min(key) >= 20 AND max(key) < 60)", "kv")
+def drop_files_in_range(log):
+    return lifecycle.drop_files_in_range(log, F.floor(F.col("key") / 7), 20, 60).select("key", "seq")
+
+
+@query("SELECT substring(key, 1, 1) AS part, count(*) AS n, min(key) AS least, max(key) AS most FROM text_kv GROUP BY 1", "text_kv")
+def prefix_partitions(rows):
+    return files.prefix_partitions(rows, "key", 1).groupBy("part").agg(F.count("*").alias("n"), F.min("key").alias("least"), F.max("key").alias("most"))
+
+
+@query("SELECT key AS prefix, count(*) AS n FROM text_kv GROUP BY 1", "text_kv")
+def kv_noop_prefix(rows):
+    return rows.groupBy(kv.noop_prefix(F.col("key")).alias("prefix")).agg(F.count("*").alias("n"))
+
+
+# --- merges of entities, with write times, and that fail ---
+
+
+@query(f"SELECT key, CAST(sum(CASE WHEN op <> 0 THEN value END) AS BIGINT) AS value, max(CASE WHEN op = 1 THEN seq END) AS other FROM {_BASED} GROUP BY key HAVING max(op) > 0", "kv")
+def merge_entity(log):
+    return lifecycle.merge_entity(log.withColumn("other", F.col("seq")), F.sum("value"), ["other"])
+
+
+@query(f"SELECT key, CAST(sum(CASE WHEN op <> 0 THEN value END) AS BIGINT) AS value, CAST(1700000000 AS BIGINT) AS at FROM {_BASED} GROUP BY key HAVING max(op) > 0", "kv")
+def ttl_merge(log):
+    return lifecycle.ttl_merge(log, F.sum("value"), F.lit(1700000000).cast("long"))
+
+
+@query(f"SELECT key, CASE WHEN NOT error THEN value END AS value, error FROM (SELECT key, CAST(sum(CASE WHEN op <> 0 THEN value END) AS BIGINT) AS value, bool_or(op = 2 AND value % 4 = 0) AS error FROM {_BASED} GROUP BY key HAVING max(op) > 0)", "kv")
+def merge_checked(log):
+    return lifecycle.merge_checked(log, F.sum("value"), F.col("value") % 4 == 0)
+
+
+# --- replays and miss ratios ---
+
+_DISTANCES = """
+, a AS (SELECT key % 8 AS shard, key, event_id AS i, lag(event_id) OVER (PARTITION BY key ORDER BY event_id) AS p FROM trace),
+d AS (SELECT x.shard, CASE WHEN x.p IS NULL THEN -1 ELSE (SELECT count(*) FROM a y WHERE y.shard = x.shard AND y.i > x.p AND y.i < x.i AND (y.p IS NULL OR y.p < x.p)) END AS distance FROM a x)
+"""
+
+
+@query(_DISTANCES + "SELECT shard, distance, count(*) AS n FROM d GROUP BY 1, 2", "trace")
+def cache_reuse_distances(trace):
+    return caches.reuse_distances(trace.withColumn("shard", F.col("key") % 8), "shard", "event_id", "key")
+
+
+@query(_DISTANCES + "SELECT capacity, CAST(sum((distance < 0 OR distance >= capacity)::INT) AS BIGINT) AS misses, round(avg((distance < 0 OR distance >= capacity)::INT), 9) AS ratio FROM d, (SELECT CAST(unnest([1, 2, 4, 8, 16]) AS BIGINT) AS capacity) GROUP BY capacity", "trace")
+def cache_miss_ratios(trace):
+    distances = caches.reuse_distances(trace.withColumn("shard", F.col("key") % 8), "shard", "event_id", "key")
+    return caches.miss_ratio_curve(distances, [1, 2, 4, 8, 16]).withColumn("ratio", F.round("ratio", 9))
+
+
+@query("SELECT event_id, CAST(floor((epoch_us(ts) - (SELECT min(epoch_us(ts)) FROM trace)) / 60) AS BIGINT) AS due_us FROM trace", "trace")
+def trace_schedule(trace):
+    return analysis.schedule(trace, 60.0).select("event_id", "due_us")
+
+
+@query("SELECT event_id, key, found FROM (SELECT event_id, key, last_value(CASE WHEN event_id % 3 = 0 THEN event_id END IGNORE NULLS) OVER (PARTITION BY key ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS found FROM trace) WHERE event_id % 3 <> 0", "trace")
+def trace_replay(trace):
+    return analysis.replay(trace, F.col("event_id") % 3 == 0, F.col("event_id"))
+
+
+# --- a graph as a log ---
+
+_LOG = "SELECT seq AS t, CASE WHEN seq % 50 = 7 THEN 'reset' WHEN op = 0 THEN 'unedge' WHEN seq % 6 = 1 THEN 'vprop' ELSE 'edge' END AS kind, src, dst, CAST(dst % 3 AS VARCHAR) AS name, CAST(seq AS VARCHAR) AS value FROM ops"
+
+
+def _log(ops):
+    kind = F.when(F.col("seq") % 50 == 7, "reset").when(F.col("op") == 0, "unedge").when(F.col("seq") % 6 == 1, "vprop").otherwise("edge")
+    return ops.select(F.col("seq").alias("at"), kind.alias("kind"), "src", "dst", (F.col("dst") % 3).cast("string").alias("name"), F.col("seq").cast("string").alias("value"))
+
+
+def _after_reset(owner: str) -> str:
+    return f", g AS ({_LOG}), r AS (SELECT src AS owner, max(t) AS cleared FROM g WHERE kind = 'reset' GROUP BY src), e AS (SELECT src, dst, max(t) AS t, arg_max(kind, t) AS kind FROM g WHERE kind IN ('edge', 'unedge') GROUP BY 1, 2) SELECT src, dst FROM e LEFT JOIN r ON owner = {owner} WHERE kind = 'edge' AND t > coalesce(cleared, -1)"
+
+
+@query(_after_reset("src"), "ops")
+def g_log_out_edges(ops):
+    return graph_log.edges(_log(ops))
+
+
+@query(_after_reset("dst"), "ops")
+def g_log_in_edges(ops):
+    return graph_log.edges(_log(ops), inward=True)
+
+
+@query(f"SELECT DISTINCT src AS id FROM ({_LOG}) WHERE kind = 'reset'", "ops")
+def g_log_vertices(ops):
+    return graph_log.vertices(_log(ops))
+
+
+@query(f", g AS ({_LOG}), r AS (SELECT src, max(t) AS cleared FROM g WHERE kind = 'reset' GROUP BY src) SELECT src AS id, name, value FROM (SELECT src, name, max(t) AS t, arg_max(value, t) AS value FROM g WHERE kind = 'vprop' GROUP BY 1, 2) LEFT JOIN r USING (src) WHERE t > coalesce(cleared, -1)", "ops")
+def g_log_vertex_properties(ops):
+    return graph_log.vertex_properties(_log(ops))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -53,3 +53,25 @@ def import_disjoint(base: DataFrame, new: DataFrame, key: str = "key") -> DataFr
 def file_metadata(df: DataFrame) -> DataFrame:
     """Rows and bytes of each file that a table reads."""
     return df.select("_metadata.file_path", "_metadata.file_size").groupBy("file_path", "file_size").agg(F.count("*").alias("rows"))
+
+
+def check_sorted(df: DataFrame, key: str = "key") -> DataFrame:
+    """(file, rows, least, most, disorder) of a table's files; disorder counts rows not above the one before.
+
+    A window reads one file in one task, as a scan of it would.
+    """
+    w = Window.partitionBy("file").orderBy("at")
+    rows = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), F.col(key).alias("k"))
+    rows = rows.withColumn("bad", (F.col("k") <= F.lag("k").over(w)).cast("int"))
+    return rows.groupBy("file").agg(F.count("*").alias("rows"), F.min("k").alias("least"), F.max("k").alias("most"), F.coalesce(F.sum("bad"), F.lit(0)).alias("disorder"))
+
+
+def prefix_partitions(df: DataFrame, key: str, n: int) -> DataFrame:
+    """Rows with ``part``, the first n characters of the key: what a partitioner keeps apart."""
+    return df.withColumn("part", F.substring(key, 1, n))
+
+
+def write_partitioned(df: DataFrame, path: str, key: str, n: int) -> None:
+    """Sorted files none of which holds two prefixes of n characters; a hot prefix spreads over several."""
+    rows = prefix_partitions(df, key, n)
+    rows.repartitionByRange("part", key).sortWithinPartitions("part", key).write.mode("errorifexists").partitionBy("part").parquet(path)

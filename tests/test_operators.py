@@ -1,13 +1,14 @@
 """Operators against plain Python folds on small inputs."""
 
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from adjalog import __main__ as cli
 from adjalog.functions import aggmerge, codecs
-from adjalog.operators import batches, caches, fold, graph, kv, merges, ordered
+from adjalog.operators import batches, caches, fold, graph, graph_log, kv, lifecycle, merges, ordered
 from adjalog.sources import files
 from adjalog.streaming import logs
 
@@ -253,3 +254,110 @@ def test_versions_lint_and_rates(spark, tmp_path):
     assert spark.createDataFrame([(b"\x01" + bytes(7),), (b"xx",)], "b binary").select(codecs.uint64_or_zero(F.col("b"))).collect()[0][0] == 1
     sizes = spark.createDataFrame([(i, 10) for i in range(6)], "created long, size long")
     assert rows(batches.fifo_drop(sizes, 35).select("created")) == [(3,), (4,), (5,)]
+
+
+def test_graph_store(spark, tmp_path):
+    g = graph_log.GraphStore(spark, str(tmp_path))
+    assert g.edges().count() == 0 and g.vertices().count() == 0
+    g.add_vertices([1, 2, 1])
+    g.add_edges([(1, 2), (2, 1), (3, 1), (1, 2)])
+    g.set_edge_property(1, 2, "w", "5")
+    g.set_vertex_property(1, "name", "a")
+    assert rows(g.vertices()) == [(1,), (2,)] and rows(g.edges()) == [(1, 2), (2, 1), (3, 1)]
+    assert g.edge_property(1, 2) == [("w", "5")] and g.edge_property(2, 1) == []
+    g.add_vertices([1])  # it exists: nothing changes
+    g.delete_edges([(2, 1), (7, 8)])
+    assert rows(g.edges()) == [(1, 2), (3, 1)] and rows(g.vertex_properties()) == [(1, "name", "a")]
+    g.add_vertices([1], strict=True)
+    assert rows(g.edges()) == [(3, 1)] and rows(g.edges(inward=True)) == [(1, 2)]
+    assert rows(g.vertex_properties()) == [] and rows(g.edge_properties()) == [] and g.vertices().count() == 2
+    assert rows(graph_log.edges(g.log(upto_batch=2))) == [(1, 2), (2, 1), (3, 1)]
+    again = graph_log.GraphStore(spark, str(tmp_path))
+    ops = spark.createDataFrame([("edge", 5, 6, 1), ("unedge", 5, 6, 2), ("edge", 5, 7, 1)], "kind string, src long, dst long, i long")
+    assert again.append(ops, F.col("i")) == 8 and rows(g.edges()) == [(3, 1), (5, 7)]
+
+
+def test_lifecycle(spark):
+    log = spark.createDataFrame([(1, 1, 1, 5), (2, 1, 2, 7), (3, 2, 1, 4), (4, 2, 0, None), (5, 3, 2, 8)], "seq long, key long, op int, value long")
+    said = F.when(F.col("key") == 1, "remove").when(F.col("key") == 3, "change").otherwise("keep")
+    assert rows(lifecycle.compaction_filter(log, said, F.lit(0).cast("long")).select("seq", "op", "value")) == [(1, 0, None), (2, 0, None), (3, 1, 4), (4, 0, None), (5, 1, 0)]
+    with pytest.raises(Exception, match="unknown decision"):
+        lifecycle.compaction_filter(log, F.lit("what"), F.lit(0)).collect()
+    with pytest.raises(Exception, match="corrupted record: 3"):
+        kv.stop_at(log, F.col("seq") == 4, F.lit(False), F.col("seq") == 3).collect()
+    assert kv.stop_at(log, F.col("seq") == 3, F.lit(False), F.col("seq") == 4).count() == 2
+    assert rows(lifecycle.merge_checked(log, F.sum("value"), F.col("value") == 7)) == [(1, None, True), (3, 8, False)]
+    assert rows(lifecycle.merge_entity(log.withColumn("c", F.col("seq")), F.sum("value"), ["c"])) == [(1, 12, 1), (3, 8, None)]
+    marks = spark.createDataFrame([(1, "prepare", 1), (2, "prepare", 1), (2, "commit", 3), (3, "rollback", 2), (3, "commit", 5)], "xid long, mark string, mark_seq long")
+    entries = spark.createDataFrame([(0,), (1,), (1,), (2,), (3,)], "xid long")
+    assert rows(lifecycle.transaction_states(entries, marks)) == [(0, 1, "started"), (1, 2, "prepared"), (2, 1, "committed"), (3, 1, "rolledback")]
+    families = spark.createDataFrame([(1, "create", "a"), (2, "drop", "a"), (3, "create", "b"), (4, "create", "b"), (5, "create", "a"), (6, "drop", "c")], "seq long, verb string, name string")
+    assert rows(lifecycle.column_families(families)) == [("a", 5), ("b", 3)]
+
+
+def test_cache_policies_follow_their_definitions(spark):
+    rng = random.Random(9)
+    keys = [rng.choice([rng.randrange(6), rng.randrange(60)]) for _ in range(800)]
+    trace = spark.createDataFrame([(i, k, 0) for i, k in enumerate(keys)], "i long, key long, shard int")
+    hits = {r.policy: r.hits for r in caches.simulate(trace, "shard", "i", "key", 8).collect()}
+    assert set(hits) == set(caches.POLICIES) and max(hits.values()) == hits["opt"]
+    held, mru = [], 0
+    for k in keys:
+        if k in held:
+            mru += 1
+            held.remove(k)
+        elif len(held) == 8:
+            held.pop()
+        held.append(k)
+    assert hits["mru"] == mru
+    lru = [r for r in caches.miss_ratio_curve(caches.reuse_distances(trace, "shard", "i", "key"), [1, 8, 100]).collect()]
+    assert [len(keys) - r.misses for r in lru][1] == hits["lru"] and lru[2].misses == len(set(keys))
+    arc = caches.POLICIES["arc"](4)
+    for k in [1, 2, 3, 4, 1, 2, *range(100, 140)]:  # a scan does not push out what was met twice
+        arc.access(k, 0)
+    assert arc.access(1, 0) and arc.access(2, 0)
+    for k in keys:
+        arc.access(k, 0)
+        assert len(arc.once) + len(arc.again) <= 4 and sum(map(len, (arc.once, arc.again, arc.gone_once, arc.gone_again))) <= 8
+
+
+def test_generators_files_and_events(spark, tmp_path):
+    from adjalog.streaming.listeners import EventLog
+
+    g = graph.random_graph(spark, 50, 2000, seed=3)
+    assert rows(g) == rows(graph.random_graph(spark, 50, 2000, seed=3)) and g.agg(F.min("src"), F.max("dst")).first()[0] == 0 and g.select("dst").distinct().count() == 50
+    mix = {r.verb: r["count"] for r in graph.operation_mix(spark, 20, 4000, {"add": 3, "get": 1}).groupBy("verb").count().collect()}
+    assert set(mix) == {"add", "get"} and 2800 < mix["add"] < 3200
+    df = spark.createDataFrame([("a1", 1), ("b1", 2), ("a2", 3)], "key string, v int")
+    files.write_partitioned(df, str(tmp_path / "parts"), "key", 1)
+    back = spark.read.parquet(str(tmp_path / "parts"))
+    assert rows(back.select("part", "key")) == [("a", "a1"), ("a", "a2"), ("b", "b1")]
+    assert files.check_sorted(back).agg(F.sum("rows"), F.sum("disorder")).first() == (3, 0)
+    spark.createDataFrame([(2,), (1,)], "key long").coalesce(1).write.parquet(str(tmp_path / "loose"))
+    assert files.check_sorted(spark.read.parquet(str(tmp_path / "loose"))).agg(F.sum("disorder")).first()[0] == 1
+    log = EventLog()
+    spark.streams.addListener(log)
+    try:
+        q = logs.run_once(logs.tail(spark, str(tmp_path / "loose"), df.sparkSession.read.parquet(str(tmp_path / "loose")).schema), "seen", "append", str(tmp_path / "ck"))
+        for _ in range(100):
+            if any(e[0] == "terminated" for e in log.events):
+                break
+            time.sleep(0.1)
+    finally:
+        spark.streams.removeListener(log)
+    assert log.events[0] == ("started", str(q.id), None) and ("progress", str(q.id), 2) in log.events
+
+
+def test_more_commands(spark, tmp_path):
+    path = str(tmp_path / "t")
+
+    def run(*argv):
+        return cli.main(list(argv), spark)
+
+    run("batchput", path, "a", "1", "b", "2", "c", "3", "a", "9")
+    assert run("multi_get", path, "c", "x", "a") == ["c ==> 3", "x ==> NotFound", "a ==> 9"]
+    assert run("approxsize", path) == ["6"] and run("checkconsistency", path) == ["OK"]
+    run("deleterange", path, "a", "c")
+    assert run("scan", path) == ["c ==> 3"]
+    with pytest.raises(ValueError):
+        run("deleterange", path, "c", "a")
