@@ -101,3 +101,21 @@ def replay(trace: DataFrame, write: Column, value: Column) -> DataFrame:
     w = Window.partitionBy("key").orderBy("event_id").rowsBetween(Window.unboundedPreceding, -1)
     met = F.last(F.when(write, value), ignorenulls=True).over(w)
     return trace.withColumn("__write", write).withColumn("found", met).where(~F.col("__write")).select("event_id", "key", "found")
+
+
+def accessed_share(trace: DataFrame, state: DataFrame, prefix: Column) -> DataFrame:
+    """(prefix, keys, accessed, share): how many of the keys that exist a trace touches, by prefix."""
+    touched = trace.select("key").distinct().withColumn("__met", F.lit(1))
+    rows = state.select("key").join(touched, "key", "left").groupBy(prefix.alias("prefix")).agg(F.count("*").alias("keys"), F.count("__met").alias("accessed"))
+    return rows.withColumn("share", F.col("accessed") / F.col("keys"))
+
+
+def locality(trace: DataFrame, block: Column) -> DataFrame:
+    """(accesses, blocks, keys): blocks of neighbouring keys by how often they are met, and the keys met in them."""
+    per = trace.groupBy(block.alias("block"), "key").agg(F.count("*").alias("n")).groupBy("block").agg(F.sum("n").alias("accesses"), F.count("*").alias("met"))
+    return per.groupBy("accesses").agg(F.count("*").alias("blocks"), F.sum("met").alias("keys"))
+
+
+def key_statistics(trace: DataFrame) -> DataFrame:
+    """(type, keys, accesses, key_size) with the mean length of the keys as text, weighed by access."""
+    return trace.groupBy("type").agg(F.countDistinct("key").alias("keys"), F.count("*").alias("accesses"), F.avg(F.length(F.col("key").cast("string"))).alias("key_size"))

@@ -154,6 +154,11 @@ def ttl_compact(rows: DataFrame, ttl_s: int, now: str) -> DataFrame:
     return rows if ttl_s <= 0 else rows.where(F.col("ts") + F.make_dt_interval(secs=F.lit(ttl_s)) >= F.lit(now).cast("timestamp_ntz" if dict(rows.dtypes)["ts"] == "timestamp_ntz" else "timestamp"))
 
 
+def expire_each(rows: DataFrame, now: Column) -> DataFrame:
+    """Rows whose own ``expires`` is after now; a null never expires."""
+    return rows.where(F.col("expires").isNull() | (F.col("expires") > now))
+
+
 def deletion_windows(log: DataFrame, n: int, most: int) -> DataFrame:
     """Whether ``most`` deletes or more fall into some n consecutive entries, by key order."""
     w = Window.partitionBy("part").orderBy("seq").rowsBetween(-(n - 1), 0)
@@ -172,6 +177,11 @@ def stop_at(records: DataFrame, stop: Column, ignore: Column, corrupted: Column
     return records.join(F.broadcast(first), (F.col("stop").isNull()) | (F.col("seq") < F.col("stop")), "left_semi").where(~ignore)
 
 
+def without_log_data(log: DataFrame, marker: int = 9) -> DataFrame:
+    """A log without the entries that only annotate it, which no read sees."""
+    return log.where(F.col("op") != marker)
+
+
 def updates_since(log: DataFrame, seq: int) -> DataFrame:
     """The change feed from a sequence number on."""
     return log.where(F.col("seq") >= seq)

@@ -805,3 +805,32 @@ def g_log_vertices(ops):
 @query(f", g AS ({_LOG}), r AS (SELECT src, max(t) AS cleared FROM g WHERE kind = 'reset' GROUP BY src) SELECT src AS id, name, value FROM (SELECT src, name, max(t) AS t, arg_max(value, t) AS value FROM g WHERE kind = 'vprop' GROUP BY 1, 2) LEFT JOIN r USING (src) WHERE t > coalesce(cleared, -1)", "ops")
 def g_log_vertex_properties(ops):
     return graph_log.vertex_properties(_log(ops))
+
+
+# --- expiry by row, annotations, locality ---
+
+
+@query("SELECT key, seq FROM kv WHERE op = 0 OR seq + 100 * (key % 50) > 6000", "kv")
+def kv_expire_each(log):
+    expires = F.when(F.col("op") != 0, F.col("seq") + 100 * (F.col("key") % 50))
+    return kv.expire_each(log.withColumn("expires", expires), F.lit(6000)).select("key", "seq")
+
+
+@query("SELECT key, seq FROM kv WHERE seq % 8 <> 3", "kv")
+def kv_without_log_data(log):
+    return kv.without_log_data(log.withColumn("op", F.when(F.col("seq") % 8 == 3, 9).otherwise(F.col("op")))).select("key", "seq")
+
+
+@query("SELECT s.key // 100 AS prefix, count(*) AS keys, count(t.key) AS accessed, round(count(t.key) / count(*), 9) AS share FROM entities s LEFT JOIN (SELECT DISTINCT key FROM trace) t USING (key) GROUP BY 1", "trace", "entities")
+def trace_accessed_share(trace, entities):
+    return analysis.accessed_share(trace, entities, F.floor(F.col("key") / 100).cast("long")).withColumn("share", F.round("share", 9))
+
+
+@query("SELECT accesses, count(*) AS blocks, CAST(sum(met) AS BIGINT) AS keys FROM (SELECT key // 4 AS block, count(*) AS accesses, count(DISTINCT key) AS met FROM trace GROUP BY 1) GROUP BY accesses", "trace")
+def trace_locality(trace):
+    return analysis.locality(trace, F.floor(F.col("key") / 4))
+
+
+@query("SELECT type, count(DISTINCT key) AS keys, count(*) AS accesses, round(avg(length(CAST(key AS VARCHAR))), 9) AS key_size FROM trace GROUP BY type", "trace")
+def trace_key_statistics(trace):
+    return analysis.key_statistics(trace).withColumn("key_size", F.round("key_size", 9))

@@ -24,8 +24,15 @@ def read_workload(spark: SparkSession, path: str) -> DataFrame:
     return rows.where("verb in ('add', 'delete', 'get', 'walk') and src is not null")
 
 
-def write_sorted(df: DataFrame, path: str, key: str = "key", files: int | None = None) -> None:
-    """Files of disjoint key ranges, sorted, so that scans of a range prune files."""
+def write_sorted(df: DataFrame, path: str, key: str = "key", files: int | None = None, strict: bool = False) -> None:
+    """Files of disjoint key ranges, sorted, so that scans of a range prune files.
+
+    With ``strict`` a key that comes twice is an error, and nothing is written.
+    """
+    if strict:
+        twice = df.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").first()
+        if twice is not None:
+            raise ValueError(f"the key comes twice: {twice[0]}")
     ranged = df.repartitionByRange(key) if files is None else df.repartitionByRange(files, key)
     ranged.sortWithinPartitions(key).write.mode("errorifexists").parquet(path)
 
@@ -42,6 +49,44 @@ def load_version(spark: SparkSession, root: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{root.rstrip('/')}/version={version:012d}")
 
 
+def _folder(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def versions(spark: SparkSession, root: str) -> list[int]:
+    """The versions below a root that were written to their end, ascending."""
+    system, at = _folder(spark, root.rstrip("/"))
+    if not system.exists(at):
+        return []
+    names = [x.getPath().getName() for x in system.listStatus(at)]
+    done = [n for n in names if n.startswith("version=") and system.exists(_folder(spark, f"{root.rstrip('/')}/{n}/_SUCCESS")[1])]
+    return sorted(int(n.removeprefix("version=")) for n in done)
+
+
+def purge_versions(spark: SparkSession, root: str, keep: int) -> list[int]:
+    """Delete all versions but the newest ``keep``; returns those deleted."""
+    if keep < 0:
+        raise ValueError("keep must not be negative")
+    known = versions(spark, root)
+    gone = known[: len(known) - keep] if keep < len(known) else []
+    for v in gone:
+        system, at = _folder(spark, f"{root.rstrip('/')}/version={v:012d}")
+        system.delete(at, True)
+    return gone
+
+
+def fingerprint(df: DataFrame) -> tuple:
+    """Rows and an order-independent checksum of all columns."""
+    h = F.xxhash64(*df.columns)
+    return tuple(df.agg(F.count("*"), F.bit_xor(h), F.sum(h.cast("decimal(38,0)"))).first())
+
+
+def verify_version(spark: SparkSession, root: str, version: int, expected: tuple) -> bool:
+    """Whether a saved version still reads to the ``fingerprint`` it had."""
+    return fingerprint(load_version(spark, root, version)) == tuple(expected)
+
+
 def import_disjoint(base: DataFrame, new: DataFrame, key: str = "key") -> DataFrame:
     """Both tables, or an error if their key ranges overlap."""
     (a, b), (c, d) = (df.agg(F.min(key), F.max(key)).first() for df in (base, new))

@@ -361,3 +361,20 @@ def test_more_commands(spark, tmp_path):
     assert run("scan", path) == ["c ==> 3"]
     with pytest.raises(ValueError):
         run("deleterange", path, "c", "a")
+
+
+def test_saved_versions(spark, tmp_path):
+    root = str(tmp_path / "saved")
+    assert files.versions(spark, root) == [] and files.purge_versions(spark, root, 1) == []
+    df = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "key long, value string")
+    marks = {}
+    for v in (3, 11, 7):
+        marks[v] = files.fingerprint(df.limit(v))
+        files.save_version(df.limit(v), root, v)
+    assert files.versions(spark, root) == [3, 7, 11] and files.verify_version(spark, root, 7, marks[7])
+    assert not files.verify_version(spark, root, 7, files.fingerprint(df.distinct()))
+    assert files.purge_versions(spark, root, 2) == [3] and files.versions(spark, root) == [7, 11]
+    with pytest.raises(ValueError):
+        files.write_sorted(df, str(tmp_path / "s"), strict=True)
+    files.write_sorted(df.distinct(), str(tmp_path / "s"), strict=True)
+    assert spark.read.parquet(str(tmp_path / "s")).count() == 2
