@@ -83,7 +83,8 @@ def link_fingerprints(fps: DataFrame, scratch: Scratch) -> DataFrame:
     masks = F.array(*[F.lit(m) for m in VARIANT_MASKS])
     variants = fps.select("fp", F.posexplode(masks).alias("pos", "mask")).select("pos", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
     shared = variants.groupBy("pos", "key").agg(F.count("*").alias("n")).where("n > 1")
-    members = scratch.keep(variants.join(shared, ["pos", "key"]), "members")
+    # sizes in plans leave out what an explode adds: without the hint, 64 rows a fingerprint are broadcast by way of the driver
+    members = scratch.keep(variants.hint("merge").join(shared, ["pos", "key"]), "members")
     few = members.where(F.col("n") <= CROWDED)
     a, b = few.select("pos", "key", F.col("fp").alias("u")), few.select(F.col("pos").alias("pos2"), F.col("key").alias("key2"), F.col("fp").alias("v"))
     near = (F.col("pos") == F.col("pos2")) & (F.col("key") == F.col("key2")) & (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2)

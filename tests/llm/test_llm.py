@@ -86,6 +86,21 @@ def test_links_in_crowds(spark, tmp_path, monkeypatch):
         assert set(map(frozenset, groups.values())) == want and rows.count() == 0
 
 
+def test_variants_are_not_broadcast(spark, monkeypatch):
+    plans, keep = {}, simhash.Scratch.keep
+
+    def noted(self, df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return keep(self, df, name)
+
+    monkeypatch.setattr(simhash.Scratch, "keep", noted)
+    base = random.Random(6).getrandbits(62)
+    points = {base, base ^ 1, base ^ 6, 5, 9}
+    scratch = simhash.Scratch(spark, "t")
+    edges = simhash.link_fingerprints(scratch.keep(spark.createDataFrame([(p,) for p in points], "fp long"), "fps"), scratch)
+    assert "Broadcast" not in plans["members"] and {frozenset(r) for r in edges.collect()} >= {frozenset((base, base ^ 1)), frozenset((base, base ^ 6)), frozenset((5, 9))}
+
+
 def test_near_duplicates(spark, empty):
     rng = random.Random(7)
     base = [f"v{rng.randrange(10**6)}" for _ in range(300)]
