@@ -38,14 +38,18 @@ def _packed(bits: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
+def simhash_of(hashes: np.ndarray) -> int:
+    """The 64-bit SimHash, signed: a bit is set if over half of the hashes have it."""
+    return int(np.frombuffer(_packed(2 * _set_bits(hashes) > len(hashes)), np.int64)[0])
+
+
 def fingerprint(text: bytes | None, shingle: int) -> int:
     """The 64-bit SimHash, signed; repeats of a shingle count, A-Z are lower-cased."""
     words = text.lower().split() if text else []
     if not words:
         return 0
     runs = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
-    hashes = np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), runs), np.uint64)
-    return int(np.frombuffer(_packed(2 * _set_bits(hashes) > len(hashes)), np.int64)[0])
+    return simhash_of(np.fromiter(map(partial(xxhash.xxh64_intdigest, seed=SEED), runs), np.uint64))
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, shingle: int = 3) -> DataFrame:
@@ -285,6 +289,19 @@ def _similar(pairs: DataFrame, classes: DataFrame, texts: DataFrame, shingle: in
     return edges
 
 
+def variant_pairs(classes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs (u, v) of nodes (node, fp) that deletion variants of their fingerprints bring together.
+
+    They connect all nodes whose fingerprints link: each node with the least one of its
+    fingerprint, and the least ones of linked fingerprints.
+    """
+    heads = scratch.keep(classes.groupBy("fp").agg(F.min("node").alias("head")), "heads")
+    same = classes.select("fp", F.col("node").alias("v")).join(heads, "fp").where("v <> head").select(F.col("head").alias("u"), "v")
+    links = link_fingerprints(heads.select("fp"), scratch).select(F.col("u").alias("fu"), F.col("v").alias("fv"))
+    a, b = (heads.select(F.col("fp").alias(f"f{c}"), F.col("head").alias(c)) for c in "uv")
+    return same.union(links.join(a, "fu").join(b, "fv").select(F.least("u", "v"), F.greatest("u", "v")))
+
+
 def _near_places(rows: DataFrame, order: list) -> DataFrame:
     """Each member of a bucket beside the first and the preceding one in that order, if of another root."""
     inside = Window.partitionBy("key").orderBy(*order)
@@ -310,18 +327,22 @@ def _met(rows: DataFrame, similarity: float) -> DataFrame:
 def similar_components(texts: DataFrame, classes: DataFrame, shingle: int, similarity: float, scratch: Scratch) -> DataFrame:
     """(node, root) over all pairs of nodes at that Jaccard similarity; ``texts`` has (text).
 
-    Two sets that are similar enough share one of the rarest members of each (a prefix), so
+    First come the pairs that the fingerprints' deletion variants bring together, verified
+    by their sets. Pairs of that similarity can differ in more bits than the variants reach,
+    so an exact way takes the rest, the nodes that are not connected by then. Two sets that
+    are similar enough share one of the rarest members of each (a prefix), so
     buckets by prefix member miss no pair, whatever the size of the table. Two rounds compare
     each member of a bucket with the first and the preceding one only, by size and then in an
     order drawn for each bucket; they connect all but the stragglers of a group of copies.
     Then the members of a bucket that are still unconnected are compared exactly, but for
     pairs whose sizes, places in the prefixes or parities rule that similarity out.
     """
+    linked = _similar(variant_pairs(classes, scratch), classes, texts, shingle, similarity, scratch, "linked")
+    scratch.drop("members", "heads")
     common = _common(texts, shingle)
     index = _index(texts, shingle, similarity, common).repartition("key").dropDuplicates(["key", "node"])
     w = Window.partitionBy("key")
     shared = scratch.keep(index.withColumn("members", F.count("*").over(w)).where("members > 1"), "shared")
-    first = _similar(_able_pairs(_near_places(shared.withColumn("root", F.col("node")), ["size", "node"]), similarity), classes, texts, shingle, similarity, scratch, "first")
 
     def unconnected(rows: DataFrame, edges: DataFrame, name: str) -> DataFrame:
         roots = scratch.keep(components(edges, scratch, name), f"{name}-roots")
@@ -329,14 +350,17 @@ def similar_components(texts: DataFrame, classes: DataFrame, shingle: int, simil
         placed = placed.withColumn("lo", F.min("root").over(w)).withColumn("hi", F.max("root").over(w)).where("lo <> hi").drop("lo", "hi")
         return scratch.keep(placed, f"{name}-mixed")
 
+    mixed = unconnected(shared, linked, "none")
+    scratch.drop("shared")
+    first = _similar(_able_pairs(_near_places(mixed, ["size", "node"]), similarity), classes, texts, shingle, similarity, scratch, "first")
     # the first round has seen all pairs of three members
-    mixed = unconnected(shared.where("members > 3"), first, "one")
+    mixed = unconnected(mixed.where("members > 3").drop("root"), linked.union(first), "one")
     second = _similar(_able_pairs(_near_places(mixed, [F.xxhash64("node", "key"), "node"]), similarity), classes, texts, shingle, similarity, scratch, "second")
-    mixed = unconnected(mixed.drop("root"), first.union(second), "two")
+    mixed = unconnected(mixed.drop("root"), linked.union(first).union(second), "two")
     rest = _able_pairs(_met(mixed.join(classes.select("node", "fixed"), "node"), similarity), similarity)
     third = _similar(rest, classes, texts, shingle, similarity, scratch, "third")
-    out = components(first.union(second).union(third), scratch, "all")
-    scratch.drop("shared", "one-mixed", "two-mixed", "one-roots", "two-roots", "first-edges", "second-edges", "third-edges")
+    out = components(linked.union(first).union(second).union(third), scratch, "all")
+    scratch.drop("none-mixed", "one-mixed", "two-mixed", "none-roots", "one-roots", "two-roots", "linked-edges", "first-edges", "second-edges", "third-edges")
     return out
 
 
@@ -344,7 +368,8 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """(id, key, group_key, keeper) for every row: near-duplicates at a Jaccard similarity.
 
     Rows are linked exactly if the Jaccard similarity of their sets of shingles (as 64-bit
-    hashes) is ``similarity`` or more, and links are followed transitively. ``keeper`` is
+    hashes) is ``similarity`` or more, and links are followed transitively. Deletion variants
+    of the sets' SimHashes find links first, an exact way those beyond their reach. ``keeper`` is
     true for one row of each group: that of the smallest ``order_col``, the id if not given
     (nulls last, then by a hash of the text, then by row), so reruns keep the same documents.
     Repeated rows are copies of each other. Texts without words, null ones among them, form
@@ -359,13 +384,13 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
         for b in batches:
             sets = list(shingle_sets(b.column("text").to_pylist(), shingle))
             nodes = [None if h is None else node_of(h) for h in sets]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rank"), b.column("seen"), pa.array(nodes, pa.int64()), pa.array([None if h is None else len(h) for h in sets], pa.int32()), pa.array([None if h is None else parity(h) for h in sets], pa.binary()), pa.array([None if h is None else short_parity(h) for h in sets], pa.list_(pa.int64()))], names=["id", "rank", "seen", "node", "size", "bits", "fixed"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("rank"), b.column("seen"), pa.array(nodes, pa.int64()), pa.array([None if h is None else len(h) for h in sets], pa.int32()), pa.array([None if h is None else simhash_of(h) for h in sets], pa.int64()), pa.array([None if h is None else parity(h) for h in sets], pa.binary()), pa.array([None if h is None else short_parity(h) for h in sets], pa.list_(pa.int64()))], names=["id", "rank", "seen", "node", "size", "fp", "bits", "fixed"])
 
     kinds = f"id {rows.schema['id'].dataType.simpleString()}, rank {rows.schema['rank'].dataType.simpleString()}"
-    marked = rows.withColumn("seen", F.xxhash64("text")).mapInArrow(lean_batches(run), f"{kinds}, seen long, node long, size int, bits binary, fixed array<bigint>")
+    marked = rows.withColumn("seen", F.xxhash64("text")).mapInArrow(lean_batches(run), f"{kinds}, seen long, node long, size int, fp long, bits binary, fixed array<bigint>")
     marked = scratch.keep(marked.withColumn("row", F.monotonically_increasing_id()), "marked")
-    # all rows of a node have the same size and bits; one text of it is fetched later
-    classes = scratch.keep(marked.where("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first("fixed").alias("fixed"), F.min("seen").alias("seen")), "classes")
+    # all rows of a node have the same size, fingerprint and bits; one text of it is fetched later
+    classes = scratch.keep(marked.where("node is not null").groupBy("node").agg(F.first("size").alias("size"), F.first("fp").alias("fp"), F.first("bits").alias("bits"), F.first("fixed").alias("fixed"), F.min("seen").alias("seen")), "classes")
     roots = similar_components(texts, classes, shingle, similarity, scratch)
     grouped = scratch.keep(marked.join(roots, "node", "left").select("id", "rank", "seen", "row", F.coalesce("root", "node").alias("root")), "grouped")
     best = F.min(F.struct(F.col("rank").isNull().alias("none"), "rank", "seen", "row"))

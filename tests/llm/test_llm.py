@@ -146,6 +146,44 @@ def fresh(rng, n):
     return [f"v{rng.randrange(10**9)}" for _ in range(n)]
 
 
+def test_near_duplicates_come_through_variants(spark, monkeypatch):
+    rng, edges, similar = random.Random(23), {}, simhash._similar
+
+    def counted(*args):
+        out = similar(*args)
+        edges[args[-1]] = out.count()
+        return out
+
+    monkeypatch.setattr(simhash, "_similar", counted)
+    base = fresh(rng, 4000)
+    close = [" ".join(base[:i] + ["changed"] + base[i + 1 :]) for i in (900, 1900, 2900)]
+    own = fresh(rng, 300)
+    far = " ".join(own[:280] + fresh(rng, 20))  # similar at 0.87, in far more bits than the variants reach
+    hashes = simhash.shingle_sets([x.encode() for x in (" ".join(base), *close, " ".join(own), far)], 5)
+    points = [simhash.simhash_of(h) & (2**64 - 1) for h in hashes]
+    assert len(set(classes(points[:4], 2).values())) == 1 and (points[4] ^ points[5]).bit_count() > 3
+    rows = [*enumerate([" ".join(base), *close])]
+    assert grouped(spark, rows) == linked(rows) == [[0, 1, 2, 3]]
+    assert edges["linked"] >= 3 and edges["first"] == edges["second"] == edges["third"] == 0
+    rows = [(0, " ".join(own)), (1, far), (2, " ".join(fresh(rng, 300)))]
+    assert grouped(spark, rows) == linked(rows) == [[0, 1], [2]]
+    assert edges["linked"] == 0 and edges["first"] == 1
+
+
+def test_variant_pairs_connect_crowds(spark):
+    rng = random.Random(29)
+    base = rng.getrandbits(62)
+    nodes = [(k, base ^ sum(1 << rng.randrange(16) for _ in range(3))) for k in range(150)] + [(1000 + k, rng.getrandbits(62)) for k in range(40)]
+    c = classes({f for _, f in nodes}, 2)
+    want = {frozenset(n for n, f in nodes if c[f] == k) for k in set(c.values())}
+    scratch = simhash.Scratch(spark, "t")
+    found = {r.node: r.root for r in simhash.components(simhash.variant_pairs(spark.createDataFrame(nodes, "node long, fp long"), scratch), scratch).collect()}
+    groups = {}
+    for n, _ in nodes:
+        groups.setdefault(found.get(n, n), set()).add(n)
+    assert set(map(frozenset, groups.values())) == want
+
+
 def test_near_duplicates_of_one_template(spark):
     rng = random.Random(11)
     template, rows = fresh(rng, 200), []
